@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, gif, quality_rules, toxicity
+from . import bpe, gif, line_dedup, mixing, quality_rules, simhash, toxicity
 
 
 def queries():
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_host_quality": quality_rules.op3_host_quality,
+        "op5_mixing": mixing.op5_mixing,
         "op6_gif": gif.op6_gif,
+        "op7_simhash": simhash.op7_simhash,
         "op8_byte_bpe": bpe.op8_byte_bpe,
     }
 
 
 def oracle_sql():
-    return {"op3_host_quality": quality_rules.SQL}
+    return {
+        "op2_line_dedup": line_dedup.SQL,
+        "op3_host_quality": quality_rules.SQL,
+        "op5_mixing": mixing.SQL,
+    }
