@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, gif, line_dedup, mixing, quality_rules, simhash, toxicity
+from . import bpe, gif, html_extract, line_dedup, mixing, quality_rules, simhash, toxicity
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_gif": gif.op6_gif,
         "op7_simhash": simhash.op7_simhash,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op10_html": html_extract.op10_html,
     }
 
 
