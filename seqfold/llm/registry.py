@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, gif, html_extract, line_dedup, mixing, quality_rules, simhash, toxicity
+from . import bpe, gif, html_extract, line_dedup, mixing, quality_rules, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_host_quality": quality_rules.op3_host_quality,
+        "op4_suffix_array": suffix_dedup.op4_suffix_array,
         "op5_mixing": mixing.op5_mixing,
         "op6_gif": gif.op6_gif,
         "op7_simhash": simhash.op7_simhash,
