@@ -15,7 +15,6 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` sees it.
 BLANKS = " \t\n\x0b\x0c\r"
-BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +27,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text as an array (null text: none), without Python."""
-    return let(
-        F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)),
-        lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, BLANK_RUN)),
-    )
+    """The words of a text as an array (null text: none), without Python and without a regular expression."""
+    plain = F.coalesce(text, F.lit(""))
+    for blank in BLANKS[1:]:
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,6 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_ids(df: DataFrame, column: str, ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """Rows whose ``column`` may be among ``ids`` (one long column): exactly those while ``ids`` are few enough to
+    broadcast (8 bytes each), else all rows. To be used before a join that needs no others."""
+    if ids.limit(most + 1).count() > most:
+        return df
+    side = ids.toDF("only_id")
+    return df.join(F.broadcast(side), df[column] == side["only_id"], "left_semi")
+
+
 def visible(spark: SparkSession) -> None:
     """Let Python workers that share this file system import the package; clusters ship it with the job."""
     environment = spark.sparkContext.environment

@@ -28,27 +28,59 @@ from .common import let
 MIN_WORDS = 5
 
 
-def _hashes(value: Column) -> list[Column]:
-    return [F.xxhash64(value).alias("h1"), F.xxhash64(value, F.lit(1)).alias("h2")]
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, words, h1, h2) of every line long enough."""
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    worded = rows.select("doc_id", "at", common.words_of(F.col("line")).alias("words"))
-    return worded.where(F.size("words") >= MIN_WORDS).select("doc_id", "at", "words", *_hashes(F.concat_ws(" ", "words")))
+def _hashes(words: Column) -> list[Column]:
+    # The number comes first: the hash of several values is chained.
+    return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2")]
 
 
-def _half_keys(words: Column) -> Column:
-    """The three halves by which a line meets any line one word apart: of its own length, and as the longer one."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, h1, h2, k0, k1, k2) of every line long enough: where it is, its hash, and its halves.
+
+    A line meets any line one word apart by one of three halves: of its own length, or as the longer of the two.
+    """
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
     def of(w: Column) -> Column:
         n = F.size(w)
         half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-        key = lambda side, size: F.xxhash64(F.lit(side), size, F.concat_ws(" ", F.slice(w, 1, size) if side == "first" else F.slice(w, n - size + 1, size)))
-        return F.array_distinct(F.array(key("first", half), key("first", less), key("last", n - half), key("last", n - 1 - less)))
-
-    return let(words, of)
+        first = lambda size: F.xxhash64(F.lit("first"), size, F.slice(w, 1, size))
+        last = lambda size: F.xxhash64(F.lit("last"), size, F.slice(w, n - size + 1, size))
+        # Odd lengths: the first halves coincide; even ones: the last halves do.
+        other = F.when(n % 2 == 1, last(n - 1 - less)).otherwise(first(less))
+        return F.when(n >= MIN_WORDS, F.struct(*_hashes(w), first(half).alias("k0"), last(n - half).alias("k1"), other.alias("k2")))
+
+    return rows.select("doc_id", "at", let(_word_hashes(common.words_of(F.col("line"))), of).alias("x")).where("x IS NOT NULL").select("doc_id", "at", "x.*")
+
+
+def _variants(words: Column) -> Column:
+    """Hashes of a line (its words' hashes given): of the whole, then without word 0, 1, ...
+
+    A line's hash is the exclusive-or of its words' hashes with their places. Without word p, words before it keep
+    their places and words after it move up by one, so each variant follows from the one before it.
+    """
+
+    def of(kept: Column, moved: Column) -> Column:
+        fold = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(h))
+        steps = F.slice(F.transform(kept, lambda h, i: h.bitwiseXOR(F.coalesce(F.get(moved, i + 1), F.lit(0).cast("long")))), 1, F.size(kept) - 1)
+        start = F.struct(fold(moved).bitwiseXOR(F.get(moved, 0)).alias("h"))
+        return let(
+            start["h"],
+            lambda first: F.aggregate(
+                steps,
+                F.struct(first.alias("h"), F.array(fold(kept), first).alias("all")),
+                lambda s, x: F.struct(s["h"].bitwiseXOR(x).alias("h"), F.concat(s["all"], F.array(s["h"].bitwiseXOR(x))).alias("all")),
+                lambda s: s["all"],
+            ),
+        )
+
+    return let(
+        F.struct(F.transform(words, lambda h, i: F.xxhash64(h, i)).alias("kept"), F.transform(words, lambda h, i: F.xxhash64(h, i - 1)).alias("moved")),
+        lambda x: of(x["kept"], x["moved"]),
+    )
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -60,48 +92,61 @@ def _agree(a: Column, b: Column) -> Column:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, at): every line that goes."""
     place = F.struct("doc_id", "at")
-    keyed = _lines(docs).select("doc_id", "at", "h1", "h2", _half_keys(F.col("words")).alias("keys"))
-    # Equal lines share their keys: one entry per distinct line, at its earliest place.
-    distinct = common.cut(keyed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")))
-    halves = distinct.select("first", F.explode("keys").alias("key"))
+    # Equal lines share their halves: one entry per distinct line, at its earliest place.
+    every = common.cut(_lines(docs))
+    distinct = common.cut(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.first(k).alias(k) for k in ("k0", "k1", "k2"))))
+    halves = distinct.select("first", F.explode(F.array("k0", "k1", "k2")).alias("key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
     near = halves.join(shared, F.col("key") == F.col("k"), "left_semi").groupBy("first.doc_id").agg(F.collect_set("first.at").alias("ats"))
-    near = near.select(F.col("doc_id").alias("near_id"), "ats")
+    near = common.cut(near.select(F.col("doc_id").alias("near_id"), "ats"))
     # The texts of the lines that are left, from their documents.
-    found = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(near, F.col("doc_id") == F.col("near_id"))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    found = common.in_ids(texts, "doc_id", near.select("near_id")).join(near, F.col("doc_id") == F.col("near_id"))
     lines = found.select("doc_id", let(F.split("text", "\n"), lambda x: F.transform("ats", lambda i: F.struct(i.alias("at"), common.words_of(F.get(x, i)).alias("words")))).alias("lines"))
     lines = lines.select("doc_id", F.explode("lines").alias("x")).select(F.struct("doc_id", "x.at").alias("place"), "x.words").where(F.size("words") >= MIN_WORDS)
     lines = common.cut(lines.groupBy("place").agg(F.first("words").alias("words")))
-    without = lambda w, i: F.concat_ws(" ", F.slice(w, 1, i), F.slice(w, i + 2, F.size(w)))
-    whole = lines.select("place", F.lit(-1).alias("gap"), *_hashes(F.concat_ws(" ", "words")))
-    variants = lines.select("place", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("gap")).select("place", "gap", *_hashes(without(F.col("words"), F.col("gap"))))
-    keys = variants.union(whole)
-    replaced = keys.where("gap >= 0").groupBy("h1", "h2", "gap").agg(F.min("place").alias("early"), F.count("*").alias("n")).where("n > 1")
-    inserted = keys.groupBy("h1", "h2").agg(F.min(F.when(F.col("gap") < 0, F.col("place"))).alias("short"), F.min(F.when(F.col("gap") >= 0, F.col("place"))).alias("long")).where("short IS NOT NULL AND long IS NOT NULL")
-    r = replaced.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("gap").alias("r_gap"), "early")
-    s = inserted.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "short", "long")
-    by_replacement = keys.join(r, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("gap") == F.col("r_gap"))).select("place", "early")
-    by_insertion = keys.join(s, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).select("place", F.when(F.col("gap") < 0, F.col("long")).otherwise(F.col("short")).alias("early"))
+    keys = lines.select("place", F.posexplode(let(_word_hashes(F.col("words")), _variants)).alias("number", "h"))
+    keys = keys.select(F.col("place.doc_id").alias("d"), F.col("place.at").alias("a"), (F.col("number") - 1).alias("gap"), "h")
+    # Keys that occur once are the bulk: they go by their hashes alone, before any place is shuffled.
+    common_keys = keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("common_h"))
+    keys = common.cut(keys.join(common_keys, F.col("h") == F.col("common_h"), "left_semi").select(F.struct(F.col("d").alias("doc_id"), F.col("a").alias("at")).alias("place"), "gap", "h"))
+    replaced = keys.where("gap >= 0").groupBy("h", "gap").agg(F.min("place").alias("early"), F.count("*").alias("n")).where("n > 1")
+    inserted = keys.groupBy("h").agg(F.min(F.when(F.col("gap") < 0, F.col("place"))).alias("short"), F.min(F.when(F.col("gap") >= 0, F.col("place"))).alias("long")).where("short IS NOT NULL AND long IS NOT NULL")
+    r = replaced.select(F.col("h").alias("r_h"), F.col("gap").alias("r_gap"), "early")
+    s = inserted.select(F.col("h").alias("r_h"), "short", "long")
+    by_replacement = keys.join(r, (F.col("h") == F.col("r_h")) & (F.col("gap") == F.col("r_gap"))).select("place", "early")
+    by_insertion = keys.join(s, F.col("h") == F.col("r_h")).select("place", F.when(F.col("gap") < 0, F.col("long")).otherwise(F.col("short")).alias("early"))
     pairs = by_replacement.union(by_insertion).where("early < place").distinct()
     left, right = lines.select(F.col("place").alias("p1"), F.col("words").alias("w1")), lines.select(F.col("place").alias("p2"), F.col("words").alias("w2"))
     verified = pairs.join(left, F.col("place") == F.col("p1")).join(right, F.col("early") == F.col("p2")).where(_agree(F.col("w1"), F.col("w2")))
     gone = verified.select("place").distinct().withColumn("gone", F.lit(True)).withColumnRenamed("place", "gone_at")
     # Equal lines share the verdict of the earliest; otherwise all but the earliest go.
     judged = distinct.join(gone, F.col("first") == F.col("gone_at"), "left").where("n > 1 OR gone").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first", "gone")
-    every = _lines(docs).select("doc_id", "at", "h1", "h2")
     return every.join(judged, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(F.coalesce("gone", F.lit(False)) | (place != F.col("first"))).select("doc_id", "at")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines removed from ``text``, and n_lines and n_removed beside its other columns."""
     names = docs.columns
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("at").alias("gone_ats")).withColumnRenamed("doc_id", "gone_id")
+    gone = common.cut(removed_lines(docs).groupBy("doc_id").agg(F.collect_set("at").alias("gone_ats")).withColumnRenamed("doc_id", "gone_id"))
     boxed = docs.select("doc_id", "text", F.struct(*(c for c in names if c != "text")).alias("doc"))
-    joined = boxed.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
+    whole = boxed.withColumn("gone_ats", F.lit(None).cast("array<int>"))
+    ids = gone.select("gone_id")
+    if ids.limit(500_001).count() > 500_000:
+        out = _without(boxed.join(gone, F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id"))
+    else:  # few enough to broadcast (8 bytes each): only the texts that change are shuffled
+        side = F.broadcast(ids.withColumnRenamed("gone_id", "hit_id"))
+        changed = boxed.join(side, F.col("doc_id") == F.col("hit_id"), "left_semi").join(gone, F.col("doc_id") == F.col("gone_id")).drop("gone_id")
+        out = _without(changed).unionByName(_without(whole.join(side, F.col("doc_id") == F.col("hit_id"), "left_anti")))
+    return out.select(*(F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in names), "n_lines", "n_removed")
+
+
+def _without(joined: DataFrame) -> DataFrame:
+    """(doc, text, n_lines, n_removed) from (doc, text, gone_ats)."""
     rest = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone_ats")), lambda i: F.get(x, i)), "\n"))
     text = F.when(F.col("gone_ats").isNull(), F.col("text")).otherwise(rest)
-    out = joined.select("doc", text.alias("text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone_ats").isNull(), 0).otherwise(F.size("gone_ats")).cast("long").alias("n_removed"))
-    return out.select(*(F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in names), "n_lines", "n_removed")
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    return joined.select("doc", text.alias("text"), n_lines.alias("n_lines"), F.when(F.col("gone_ats").isNull(), 0).otherwise(F.size("gone_ats")).cast("long").alias("n_removed"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
