@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, gif, html_extract, line_dedup, mixing, quality_rules, simhash, suffix_dedup, toxicity
+from . import bpe, compact_windows, gif, html_extract, line_dedup, mixing, quality_rules, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op6_gif": gif.op6_gif,
         "op7_simhash": simhash.op7_simhash,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_compact_windows": compact_windows.op9_compact_windows,
         "op10_html": html_extract.op10_html,
     }
 
