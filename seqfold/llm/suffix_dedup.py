@@ -236,6 +236,8 @@ def segments(joined: bytes, docs: list[tuple[int, int, int, int]], length: int =
 
 def settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the earliest of equal segments, the ranges of all others)."""
+    if not len(found):
+        return found, np.zeros(0, RANGE)
     order = np.lexsort((found["start"], found["doc"], found["digest"], found["h"]))
     found = found[order]
     same = (found["h"][1:] == found["h"][:-1]) & (found["digest"][1:] == found["digest"][:-1])
