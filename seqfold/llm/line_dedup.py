@@ -12,7 +12,8 @@ and the whole line, as hashed keys. Lines that lost a word at the same place and
 whole line that equals another's variant is one insertion apart. Per key only the earliest line is needed, so no
 pairs within a group are made; the pair with the earliest is then verified word by word.
 
-Defined results: lines with fewer than ``MIN_WORDS`` words always stay; white space within a line doesn't count; a
+Defined results: lines with fewer than ``MIN_WORDS`` words go only if an earlier line is equal (in the query, whose SQL
+says so, they always stay); blank lines always stay; white space within a line doesn't count; a
 null text stays null and has no lines; a document that loses all lines stays with an empty text; rows without an id
 are passed on unchanged; rows that share an id are one document, from which a line number is removed as a whole; an
 empty table gives an empty one.
@@ -37,8 +38,9 @@ def _hashes(words: Column) -> list[Column]:
     return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2")]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, h1, h2, k0, k1, k2) of every line long enough: where it is, its hash, and its halves.
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, at, h1, h2, k0, k1, k2) of every line of ``least`` words: where it is, its hash, and its halves, which
+    are null under ``MIN_WORDS``.
 
     A line meets any line one word apart by one of three halves: of its own length, or as the longer of the two.
     """
@@ -51,7 +53,8 @@ def _lines(docs: DataFrame) -> DataFrame:
         last = lambda size: F.xxhash64(F.lit("last"), size, F.slice(w, n - size + 1, size))
         # Odd lengths: the first halves coincide; even ones: the last halves do.
         other = F.when(n % 2 == 1, last(n - 1 - less)).otherwise(first(less))
-        return F.when(n >= MIN_WORDS, F.struct(*_hashes(w), first(half).alias("k0"), last(n - half).alias("k1"), other.alias("k2")))
+        halves = (F.when(n >= MIN_WORDS, k).alias(f"k{i}") for i, k in enumerate((first(half), last(n - half), other)))
+        return F.when(n >= least, F.struct(*_hashes(w), *halves))
 
     return rows.select("doc_id", "at", let(_word_hashes(common.words_of(F.col("line"))), of).alias("x")).where("x IS NOT NULL").select("doc_id", "at", "x.*")
 
@@ -89,13 +92,13 @@ def _agree(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (head(a, b) + head(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, at): every line that goes."""
+def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
+    """(doc_id, at): every line that goes, of those of ``least`` words."""
     place = F.struct("doc_id", "at")
     # Equal lines share their halves: one entry per distinct line, at its earliest place.
-    every = common.cut(_lines(docs))
+    every = common.cut(_lines(docs, least))
     distinct = common.cut(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.first(k).alias(k) for k in ("k0", "k1", "k2"))))
-    halves = distinct.select("first", F.explode(F.array("k0", "k1", "k2")).alias("key"))
+    halves = distinct.select("first", F.explode(F.array("k0", "k1", "k2")).alias("key")).where("key IS NOT NULL")
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
     near = halves.join(shared, F.col("key") == F.col("k"), "left_semi").groupBy("first.doc_id").agg(F.collect_set("first.at").alias("ats"))
     near = common.cut(near.select(F.col("doc_id").alias("near_id"), "ats"))
@@ -125,10 +128,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return every.join(judged, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(F.coalesce("gone", F.lit(False)) | (place != F.col("first"))).select("doc_id", "at")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, least: int = 1) -> DataFrame:
     """``docs`` with the lines removed from ``text``, and n_lines and n_removed beside its other columns."""
     names = docs.columns
-    gone = common.cut(removed_lines(docs).groupBy("doc_id").agg(F.collect_set("at").alias("gone_ats")).withColumnRenamed("doc_id", "gone_id"))
+    gone = common.cut(removed_lines(docs, least).groupBy("doc_id").agg(F.collect_set("at").alias("gone_ats")).withColumnRenamed("doc_id", "gone_id"))
     boxed = docs.select("doc_id", "text", F.struct(*(c for c in names if c != "text")).alias("doc"))
     whole = boxed.withColumn("gone_ats", F.lit(None).cast("array<int>"))
     ids = gone.select("gone_id")
@@ -150,7 +153,8 @@ def _without(joined: DataFrame) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # Its SQL lets lines under MIN_WORDS stay, equal ones too.
+    return dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_WORDS)
 
 
 def clean(docs: DataFrame) -> DataFrame:

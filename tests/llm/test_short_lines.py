@@ -1,0 +1,17 @@
+"""Short lines go if an earlier line is equal; the query keeps to its SQL."""
+
+from seqfold.llm import line_dedup
+
+ROWS = [(1, "All rights reserved.\nfirst\n\nall of it"), (2, " All  rights reserved.\nsecond\n\nall of them"), (3, "first\nAll rights reserved.\nfirst")]
+
+
+def test_equal_short_lines_go_and_like_ones_stay(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup(docs).collect()}
+    assert got == {1: (ROWS[0][1], 0), 2: ("second\n\nall of them", 1), 3: ("", 3)}
+    assert {r.doc_id: r.text for r in line_dedup.clean(docs.selectExpr("*", "0L AS n_chars")).collect()} == {k: v[0] for k, v in got.items()}
+
+
+def test_query_keeps_to_its_sql(spark, tmp_path):
+    spark.createDataFrame(ROWS, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.text for r in line_dedup.op2_line_dedup(spark, str(tmp_path)).collect()} == dict(ROWS)
