@@ -55,6 +55,11 @@ def in_ids(df: DataFrame, column: str, ids: DataFrame, most: int = 500_000) -> D
     return df.join(F.broadcast(side), df[column] == side["only_id"], "left_semi")
 
 
+def small(side: DataFrame, most: int = 500_000) -> DataFrame:
+    """``side`` to be joined: broadcast while it has at most ``most`` rows, which are taken to be a few numbers each."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
 def visible(spark: SparkSession) -> None:
     """Let Python workers that share this file system import the package; clusters ship it with the job."""
     environment = spark.sparkContext.environment
