@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from seqfold.sources.durable import cut
+
 PUT, DELETE = 1, 2
 MAX_KEY, MAX_VALUE = 65_536, 16 << 20
+#: Inactive segments from which a log is compacted.
+ON_DEMAND, IN_BACKGROUND = 2, 4
 
 
 def live(now_ms, op: str = "op", expires: str = "expires_at_ms") -> Column:
@@ -34,9 +38,10 @@ def snapshot(log: DataFrame, now_ms: int) -> DataFrame:
 def assign_sequence(mutations: DataFrame, order: list[str], base: int = 0) -> DataFrame:
     """``seq`` = base + place in ``order``: sorted by range, numbered within each range, shifted by the ranges before.
 
-    The table of offsets has a row per partition.
+    The sorted rows are written once, so that counts and rows are those of one run; the table of offsets has a row per
+    partition. Rows that tie in ``order`` are numbered in any order.
     """
-    ranged = mutations.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = cut(mutations.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,6 +54,23 @@ def put_ex(mutations: DataFrame, now_ms: str = "now_ms", ttl_ms: str = "ttl_ms")
     return mutations.withColumn("expires_at_ms", F.when(F.col(ttl_ms) > 0, F.try_add(F.col(now_ms), F.col(ttl_ms))))
 
 
+def admit(mutations: DataFrame, order: list[str], base: int = 0) -> DataFrame:
+    """Mutations (op, key, value, ttl_ms, now_ms) with ``error`` or else ``seq`` and ``expires_at_ms``.
+
+    Rejected: keys and values out of bounds, times to live that are given but not positive or whose deadline passes
+    2^63 - 1. What is rejected takes no sequence.
+    """
+    error = (
+        F.when(~key_valid(F.col("key")), "invalid_key").when(F.octet_length("value") > MAX_VALUE, "invalid_value")
+        .when((F.col("op") == PUT) & (F.col("ttl_ms") <= 0), "invalid_ttl").when((F.col("op") == PUT) & F.col("ttl_ms").isNotNull() & F.try_add("now_ms", "ttl_ms").isNull(), "ttl_overflow")
+    )
+    judged = mutations.withColumn("error", error)
+    deadline = F.when((F.col("op") == PUT) & F.col("ttl_ms").isNotNull(), F.try_add("now_ms", "ttl_ms")).otherwise(0).cast("long")
+    taken = assign_sequence(judged.where("error IS NULL"), order, base).withColumn("expires_at_ms", deadline)
+    refused = judged.where("error IS NOT NULL").withColumns({"seq": F.lit(None).cast("long"), "expires_at_ms": F.lit(None).cast("long")})
+    return taken.unionByName(refused)
+
+
 def get_batch(requests: DataFrame, state: DataFrame, key: str = "key") -> DataFrame:
     """Each request with the value of its key, null if none."""
     side = state.select(F.col(key).alias("_k"), "value")
@@ -119,14 +141,14 @@ def encoded_size(key: Column, value: Column, header: int = 44) -> Column:
     return (F.lit(header) + F.octet_length(key) + F.octet_length(value)).cast("long")
 
 
-def rotate(log: DataFrame, max_bytes: int) -> DataFrame:
+def rotate(log: DataFrame, max_bytes: int, first_segment: int = 1, used: int = 0) -> DataFrame:
     """``segment_id`` of each record: a new segment where the record would take a non-empty one over ``max_bytes``.
 
-    A fold over the whole order, so one task reads (seq, size) pairs in order; nothing else passes through it.
+    The first segment already holds ``used`` bytes. A fold over the whole order, so one task reads (seq, size) pairs in order; nothing else passes through it.
     """
 
     def fold(batches):
-        segment, size = 1, 0
+        segment, size = first_segment, used
         for pdf in batches:
             ids = []
             for n in pdf["size"].tolist():
@@ -151,8 +173,10 @@ def compact(rotated: DataFrame, now_ms: int) -> DataFrame:
 
 
 def compaction_stats(before: DataFrame, after: DataFrame) -> DataFrame:
-    """input_segments (inactive), bytes before and after, bytes written."""
+    """input_segments (inactive), bytes before and after, bytes written, and whether there are enough of them to
+    compact on demand (2) and in the background (4)."""
     top = before.agg(F.max("segment_id").alias("active"), F.sum("size").alias("bytes_before"), (F.count_distinct("segment_id") - 1).alias("input_segments"))
     rest = after.agg(F.sum("size").alias("bytes_after"), F.max("segment_id").alias("last"), F.min("segment_id").alias("first"))
     written = after.join(F.broadcast(before.agg(F.max("segment_id").alias("active")))).where("segment_id < active").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_written"))
-    return top.join(F.broadcast(rest)).join(F.broadcast(written)).select("input_segments", "bytes_before", "bytes_after", "bytes_written")
+    due = [(F.col("input_segments") >= ON_DEMAND).alias("on_demand"), (F.col("input_segments") >= IN_BACKGROUND).alias("in_background")]
+    return top.join(F.broadcast(rest)).join(F.broadcast(written)).select("input_segments", "bytes_before", "bytes_after", "bytes_written", *due)

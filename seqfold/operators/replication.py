@@ -7,7 +7,7 @@ independent, so the work spreads by stream.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _fold(items: Column) -> Column:
@@ -84,30 +84,89 @@ def snapshot_errors(messages: DataFrame) -> DataFrame:
     return streams.union(keys)
 
 
-def lag(latest: DataFrame, applied: DataFrame, on: list[str]) -> DataFrame:
-    """latest - min(latest, applied) per stream and node."""
-    return latest.join(applied, on, "left").withColumn("lag", F.col("latest") - F.least("latest", F.coalesce("applied", F.lit(0))))
+def get(values: DataFrame, now_ms: int) -> DataFrame:
+    """(key, value) a replica answers with: what has expired isn't there."""
+    return values.where((F.col("expires_at_ms") == 0) | (F.col("expires_at_ms") > now_ms)).select("key", "value")
+
+
+def get_from(values: DataFrame, nodes: DataFrame, node_id: str, now_ms: int) -> DataFrame:
+    """(key, value) on one node, from (node_id, key, value, expires_at_ms). A node that is unknown or down is an error."""
+    state = nodes.where(F.col("id") == node_id).select("available").first()
+    if state is None or not state.available:
+        raise ValueError(f"replica is {'unknown' if state is None else 'unavailable'}: {node_id}")
+    return get(values.where(F.col("node_id") == node_id), now_ms)
+
+
+def cluster_errors(nodes: DataFrame, factor: int) -> DataFrame:
+    """(id, error): what forbids a cluster of ``nodes``; an id of null is about the cluster itself."""
+    long_ids = nodes.where(F.octet_length("id") > 255).select("id", F.lit("id exceeds 255 bytes").alias("error"))
+    negative = nodes.where("delay_ms < 0").select("id", F.lit("negative delay").alias("error")) if "delay_ms" in nodes.columns else long_ids.limit(0)
+    count = nodes.agg(F.count("*").alias("n")).where((F.col("n") < factor) | F.lit(not 1 <= factor <= 3))
+    return long_ids.union(negative).union(count.select(F.lit(None).cast("string"), F.lit("factor must be 1 to 3 and fit the nodes")))
+
+
+def lag(latest: DataFrame, applied: DataFrame, on: list[str], placed: DataFrame | None = None, node: str = "node_id") -> DataFrame:
+    """latest - min(latest, applied) per stream and node.
+
+    With ``placed`` (the stream's columns and ``node``), rows of nodes that don't hold the stream have a null lag and
+    an ``error``.
+    """
+    out = latest.join(applied, on, "left").withColumn("lag", F.col("latest") - F.least("latest", F.coalesce("applied", F.lit(0))))
+    if placed is None:
+        return out
+    holds = placed.select(*on, node).distinct().withColumn("_holds", F.lit(True))
+    joined = out.join(holds, list(dict.fromkeys([*on, node])), "left")
+    return joined.select(*out.columns[:-1], F.when(F.col("_holds"), F.col("lag")).alias("lag"), F.when(F.col("_holds").isNull(), "not a replica").alias("error"))
 
 
 def acknowledge(mutations: DataFrame, placed: DataFrame, nodes: DataFrame, timeout_ms: int, mode: str) -> DataFrame:
-    """Outcome of each mutation over its replicas.
+    """Outcome of each mutation: acknowledged, sequence, acknowledgements, required, unavailable, timed_out, sequence_gaps.
+
+    ``mutations``: (mutation, key), in order of ``mutation``; ``placed``: (mutation, replica, node_id), replica 0 being
+    the primary; ``nodes``: (id, available, delay_ms), or as well by ``mutation`` where states change over time.
 
-    ``placed``: (mutation, replica, node_id), replica 0 being the primary; ``nodes``: (id, available, delay_ms). A
-    mutation whose primary is down or slower than the timeout is rejected and takes no sequence.
+    A mutation whose primary is down, or slower than the timeout, returns at once: it takes no sequence (0) and counts
+    that one failure alone. Others take the next sequence of their stream (primary, key). A node that missed one of the
+    stream's sequences finds a gap in every later one.
     """
-    side = F.broadcast(nodes.select(F.col("id").alias("node_id"), "available", "delay_ms"))
-    joined = mutations.join(placed, "mutation").join(side, "node_id")
-    late = F.col("available") & (F.col("delay_ms") > timeout_ms)
-    out = joined.groupBy("mutation").agg(
-        F.count("*").alias("replicas"), F.count_if(F.col("available") & ~late).alias("acks"), F.count_if(~F.col("available")).alias("unavailable"),
-        F.count_if(late).alias("timed_out"), F.bool_or((F.col("replica") == 0) & F.col("available") & ~late).alias("accepted"),
+    if mode not in ("primary", "all") or timeout_ms < 0:
+        raise ValueError("acknowledgement mode or timeout")
+    on = [c for c in ("mutation",) if c in nodes.columns]
+    side = nodes.select(*on, F.col("id").alias("node_id"), "available", "delay_ms")
+    joined = mutations.select("mutation", "key").join(placed, "mutation").join(side, [*on, "node_id"])
+    down, late = ~F.col("available"), F.col("available") & (F.col("delay_ms") > timeout_ms)
+    joined = joined.withColumns({"down": down, "late": late})
+    lead = joined.where("replica = 0").select(F.col("mutation").alias("m"), F.col("node_id").alias("primary"), F.col("down").alias("p_down"), F.col("late").alias("p_late"), "key")
+    stream = Window.partitionBy("primary", "key").orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lead = lead.withColumn("accepted", ~(F.col("p_down") | F.col("p_late")))
+    lead = lead.withColumn("sequence", F.when(F.col("accepted"), F.sum(F.col("accepted").cast("long")).over(stream)).otherwise(0).cast("long")).drop("key")
+    sent = joined.join(lead, F.col("mutation") == F.col("m"))
+    before = Window.partitionBy("primary", "key", "node_id").orderBy("mutation").rowsBetween(Window.unboundedPreceding, -1)
+    missed = F.col("accepted") & (F.col("down") | F.col("late"))
+    sent = sent.withColumn("behind", F.coalesce(F.max(missed.cast("int")).over(before), F.lit(0)) == 1).withColumn("reached", F.col("accepted") & ~F.col("down") & ~F.col("late"))
+    count = lambda accepted, rejected: F.when(F.first("accepted"), F.count_if(accepted)).otherwise(F.first(rejected).cast("long"))
+    out = sent.groupBy("mutation").agg(
+        F.first("sequence").alias("sequence"), F.count_if(F.col("reached") & ~F.col("behind")).alias("acknowledgements"),
+        F.count("*").alias("replicas"), count(F.col("down"), F.col("p_down")).alias("unavailable"),
+        count(F.col("late"), F.col("p_late")).alias("timed_out"), F.count_if(F.col("reached") & F.col("behind")).alias("sequence_gaps"), F.first("accepted").alias("accepted"),
     )
-    required = F.lit(1) if mode == "primary" else F.col("replicas")
-    return out.withColumn("acknowledged", F.col("accepted") & (F.col("acks") >= required))
+    required = F.lit(1).cast("long") if mode == "primary" else F.col("replicas")
+    return out.withColumn("required", required).select(
+        "mutation", (F.col("accepted") & (F.col("acknowledgements") >= F.col("required"))).alias("acknowledged"), "sequence", "acknowledgements", "required",
+        "unavailable", "timed_out", "sequence_gaps",
+    )
+
 
+def recover(history: DataFrame, marks: DataFrame, stream: list[str], node: str | None = None, placed: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Replay of retained history from a node's watermarks: (stream, last, replayed, gap).
 
-def recover(history: DataFrame, marks: DataFrame, stream: list[str]) -> DataFrame:
-    """Replay of a node's retained history from its watermarks: (stream, last, replayed, error)."""
+    With ``placed`` (the stream's columns and node_id) only streams that ``node`` holds are replayed; with ``nodes`` a
+    node that is unknown or down is an error.
+    """
+    if nodes is not None and nodes.where((F.col("id") == node) & F.col("available")).limit(1).count() == 0:
+        raise ValueError(f"replica is unavailable: {node}")
+    if placed is not None:
+        history = history.join(placed.where(F.col("node_id") == node).select(*stream).distinct(), stream, "left_semi")
     todo = history.join(marks, stream, "left").where(F.col("seq") > F.coalesce("last", F.lit(0)))
     out = todo.groupBy(*stream).agg(F.min("seq").alias("first"), F.max("seq").alias("top"), F.count_distinct("seq").alias("replayed"), F.first(F.coalesce("last", F.lit(0))).alias("from"))
     broken = (F.col("first") != F.col("from") + 1) | (F.col("top") - F.col("from") != F.col("replayed"))

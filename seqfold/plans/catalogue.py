@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqfold.functions import u64
 from seqfold.operators import changelog as kv, evidence, replication, requests, ring
-from seqfold.sources import kvlog
+from seqfold.sources import durable, evidence_io, kvlog
 from seqfold.streaming import replay as stream
 
 NOW_MS = 1706659200000
@@ -148,10 +147,22 @@ def stats_counters(spark, sf_dir):
 OPCODE = "CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 3 WHEN 'signup' THEN 5 ELSE 6 END"
 
 
-@query(f"""SELECT '{{"put":' || count(*) FILTER (o = 1) || ',"get":' || count(*) FILTER (o = 2) || ',"delete":' || count(*) FILTER (o = 3) || ',"exists":0,"putex":' || count(*) FILTER (o = 5) ||
-  ',"ttl":' || count(*) FILTER (o = 6) || ',"ping":0,"stats":0,"requests":' || count(*) || '}}' AS stats FROM (SELECT {OPCODE} AS o FROM events)""")
+OP_COUNTS = " || ".join(f"""'{',' if i else ''}"{name}":' || count(*) FILTER (valid AND o = {k})""" for i, (k, name) in enumerate(requests.OPERATIONS.items()))
+
+
+@query(f"""WITH {LOG_SQL}, r AS (SELECT {OPCODE} AS o, event_id % 10 > 0 AS valid, event_id % 100 = 7 AS failed FROM events)
+SELECT '{{' || {OP_COUNTS} || ',"errors":' || count(*) FILTER (NOT valid OR failed) || ',"rejected_connections":0,"active_connections":0,"queue_depth":0,"bytes_appended":' ||
+  (SELECT sum(44 + strlen(key) + strlen(value)) FROM log) || ',"segments":1,"compactions":0,"last_compaction_ns":0,"index_entries":' ||
+  (SELECT count(*) FROM (SELECT arg_max(op, seq) AS l FROM log GROUP BY key) WHERE l = 1) || '}}' AS stats FROM r""")
 def stats_document(spark, sf_dir):
-    return requests.stats(table(spark, sf_dir, "events").select(F.expr(OPCODE).alias("opcode")))
+    """Every tenth request is invalid, every hundredth fails inside; the gauges are those of the log."""
+    rows = log(spark, sf_dir)
+    size = rows.agg(F.sum(kv.encoded_size(F.col("key"), F.col("value"))).alias("bytes_appended"))
+    entries = kv.last_records(rows).agg(F.count_if(F.col("op") == 1).alias("index_entries"))
+    zero = {n: F.lit(0) for n in requests.GAUGES if n not in ("bytes_appended", "index_entries", "segments")}
+    gauges = size.join(F.broadcast(entries)).withColumns(zero | {"segments": F.lit(1)})  # one row each
+    e = F.col("event_id")
+    return requests.stats(table(spark, sf_dir, "events").select(F.expr(OPCODE).alias("opcode"), (e % 10 > 0).alias("valid"), (e % 100 == 7).alias("failed")), gauges)
 
 
 REQUEST = "event_id % 9 AS opcode, user_id % 3 AS key_size, CASE WHEN event_type = 'view' THEN 0 ELSE octet_length({}) END AS value_size, event_id % 4 - 1 AS ttl_ms"
@@ -160,11 +171,61 @@ REQUEST = "event_id % 9 AS opcode, user_id % 3 AS key_size, CASE WHEN event_type
 @query(f"""WITH r AS (SELECT event_id, {REQUEST.format('encode(props)')} FROM events),
 v AS (SELECT *, CASE WHEN opcode = 1 THEN key_size > 0 WHEN opcode = 5 THEN key_size > 0 AND value_size >= 8 AND ttl_ms > 0
   WHEN opcode IN (2, 3, 4, 6) THEN key_size > 0 AND value_size = 0 WHEN opcode IN (7, 8) THEN key_size = 0 AND value_size = 0 ELSE false END AS valid FROM r)
-SELECT event_id, valid, CASE WHEN NOT valid THEN 'INVALID_REQUEST' WHEN opcode IN (2, 3, 6) AND event_id % 2 = 0 THEN 'NOT_FOUND' ELSE 'OK' END AS status FROM v""")
+SELECT event_id, valid, CASE WHEN NOT valid THEN 'INVALID_REQUEST' WHEN event_id % 50 = 1 THEN 'STORAGE_ERROR' WHEN event_id % 50 = 2 THEN 'INTERNAL_ERROR'
+  WHEN opcode IN (2, 3, 6) AND event_id % 2 = 0 THEN 'NOT_FOUND' WHEN opcode = 6 AND event_id % 3 = 0 THEN 'NO_EXPIRY' ELSE 'OK' END AS status FROM v""")
 def request_status(spark, sf_dir):
     r = table(spark, sf_dir, "events").selectExpr("event_id", *REQUEST.format("props").replace(", CASE", "| CASE").replace(", user", "| user").replace(", event_id % 4", "| event_id % 4").split("|"))
-    valid = requests.request_valid(F.col("opcode"), F.col("key_size"), F.col("value_size"), F.col("ttl_ms"))
-    return r.withColumn("valid", valid).select("event_id", "valid", requests.status_of(F.col("valid"), F.col("event_id") % 2 == 1, F.col("opcode")).alias("status"))
+    e, valid = F.col("event_id"), requests.request_valid(F.col("opcode"), F.col("key_size"), F.col("value_size"), F.col("ttl_ms"))
+    failure = F.when(e % 50 == 1, "storage").when(e % 50 == 2, "internal")
+    return r.withColumn("valid", valid).select("event_id", "valid", requests.status_of(F.col("valid"), e % 2 == 1, F.col("opcode"), e % 3 == 0, failure).alias("status"))
+
+
+@query(f"""WITH {LOG_SQL}, {snap_sql('s')}, r AS (SELECT c_custkey AS request_id, CAST(c_custkey AS VARCHAR) AS key, [2, 4, 6, 7][c_custkey % 4 + 1] AS opcode FROM customer),
+a AS (SELECT r.*, s.value, s.expires_at_ms AS e, s.key IS NOT NULL AS found FROM r LEFT JOIN s USING (key))
+SELECT request_id, CASE opcode WHEN 7 THEN 'PONG' WHEN 4 THEN CAST(found AS VARCHAR) ELSE CASE WHEN NOT found THEN 'NOT_FOUND' WHEN opcode = 2 THEN value
+    WHEN e = 0 THEN 'PERSISTENT' ELSE CAST(e - {NOW_MS} AS VARCHAR) END END AS line, CASE WHEN opcode IN (2, 6) AND NOT found THEN 3 ELSE 0 END AS exit_code FROM a""")
+def command_output(spark, sf_dir):
+    """Reads (GET EXISTS TTL PING) of customers' keys against the live snapshot, as a command prints them."""
+    key = F.col("c_custkey")
+    r = table(spark, sf_dir, "customer").select(key.alias("request_id"), key.cast("string").alias("key"), F.element_at(F.array(*map(F.lit, (2, 4, 6, 7))), (key % 4 + 1).cast("int")).alias("opcode"))
+    line, code = requests.render(F.col("opcode"), F.col("status"), F.col("value"))
+    return requests.answer(r, kv.snapshot(log(spark, sf_dir), NOW_MS), NOW_MS).select("request_id", line.alias("line"), code.alias("exit_code"))
+
+
+@query("""SELECT event_id // 50 AS batch_id, event_id % 49 AS request_id, 'repeated request id' AS error FROM events GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT event_id // 50, event_id % 49, 'no response' FROM events WHERE event_id % 50 = 7 UNION ALL SELECT event_id // 50, event_id % 49, 'opcode differs' FROM events WHERE event_id % 50 = 9""")
+def pipeline_check(spark, sf_dir):
+    """Batches of fifty requests, the last with the id of the first; one isn't answered, one with another opcode."""
+    e = F.col("event_id")
+    r = table(spark, sf_dir, "events").select(F.floor(e / 50).alias("batch_id"), (e % 49).alias("request_id"), F.lit(1).alias("opcode"), e)
+    r = r.withColumn("request_id", F.col("event_id") % 49)
+    answers = r.where("event_id % 50 <> 7").select("batch_id", "request_id", F.when(F.col("event_id") % 50 == 9, 2).otherwise(1).alias("opcode"))
+    return requests.pipeline_errors(r, answers)
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 3 = 1 THEN false WHEN user_id % 3 = 2 THEN false ELSE true END AS valid FROM events""")
+def key_check(spark, sf_dir):
+    """Keys that are empty, too long, or as they should be."""
+    key = F.when(F.col("user_id") % 3 == 1, "").when(F.col("user_id") % 3 == 2, F.repeat(F.lit("k"), kv.MAX_KEY + 1)).otherwise(F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", kv.key_valid(key).alias("valid"))
+
+
+@query("""WITH r AS (SELECT event_id, CASE WHEN event_id % 20 = 3 THEN 'invalid_key' WHEN event_id % 20 = 4 THEN 'invalid_ttl' WHEN event_id % 20 = 5 THEN 'ttl_overflow' END AS error FROM events)
+SELECT event_id, error, CASE WHEN error IS NULL THEN row_number() OVER (PARTITION BY error IS NULL ORDER BY event_id) END AS seq, CASE WHEN error IS NULL THEN CASE WHEN event_id % 2 = 0 THEN 1000 + event_id ELSE 0 END END AS expires_at_ms FROM r""")
+def admitted(spark, sf_dir):
+    """Puts with a key, time to live or deadline that is refused; the others are numbered without gaps."""
+    e = F.col("event_id")
+    ttl = F.when(e % 20 == 4, 0).when(e % 20 == 5, F.lit((1 << 63) - 1)).when(e % 2 == 0, 1000).cast("long")
+    m = table(spark, sf_dir, "events").select("event_id", F.lit(1).alias("op"), F.when(e % 20 == 3, "").otherwise("k").alias("key"), F.lit("v").alias("value"), ttl.alias("ttl_ms"), e.alias("now_ms"))
+    return kv.admit(m, ["event_id"]).select("event_id", "error", "seq", "expires_at_ms")
+
+
+@query("SELECT event_id, printf('%016X', event_id + 1) || upper(hex(encode(props))) AS payload, event_id + 1 AS ttl_ms, props AS value, printf('%016X', event_id + 1) AS remaining FROM events")
+def putex_payloads(spark, sf_dir):
+    """Times to live and values packed into one payload, and taken apart again."""
+    ttl = F.col("event_id") + 1
+    packed = table(spark, sf_dir, "events").select("event_id", requests.putex_payload(ttl, F.col("props")).alias("p"), F.hex(requests.ttl_payload(ttl)).alias("remaining"))
+    return packed.withColumn("x", requests.split_putex(F.col("p"))).select("event_id", F.hex("p").alias("payload"), "x.ttl_ms", F.col("x.value").cast("string").alias("value"), "remaining")
 
 
 @query("""WITH r AS (SELECT event_id, event_id % 8 + 1 AS opcode, event_id // 8 % 8 AS status, CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN 'PONG' WHEN 'signup' THEN chr(1) WHEN 'error' THEN 'abcdefgh' ELSE props END AS value FROM events)
@@ -236,7 +297,8 @@ done AS (SELECT 1 AS segment_id, rot.seq, rot.key, rot.op, rot.value, rot.size F
 
 
 def rotated(spark, sf_dir):
-    return kv.rotate(log(spark, sf_dir).withColumn("size", kv.encoded_size(F.col("key"), F.col("value"))), SEGMENT)
+    # Read several times by what follows: the fold runs once.
+    return durable.cut(kv.rotate(log(spark, sf_dir).withColumn("size", kv.encoded_size(F.col("key"), F.col("value"))), SEGMENT))
 
 
 @query(f"WITH {ROTATED_SQL} SELECT segment_id, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes, min(seq) AS first_seq FROM rot GROUP BY segment_id")
@@ -250,7 +312,8 @@ def compact_log(spark, sf_dir):
 
 
 @query(f"""WITH {COMPACT_SQL} SELECT (SELECT count(DISTINCT segment_id) - 1 FROM rot) AS input_segments, (SELECT CAST(sum(size) AS BIGINT) FROM rot) AS bytes_before,
-  (SELECT CAST(sum(size) AS BIGINT) FROM done) AS bytes_after, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM done WHERE segment_id < (SELECT max(segment_id) FROM rot)) AS bytes_written""")
+  (SELECT CAST(sum(size) AS BIGINT) FROM done) AS bytes_after, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM done WHERE segment_id < (SELECT max(segment_id) FROM rot)) AS bytes_written,
+  (SELECT count(DISTINCT segment_id) - 1 FROM rot) >= 2 AS on_demand, (SELECT count(DISTINCT segment_id) - 1 FROM rot) >= 4 AS in_background""")
 def compaction_stats(spark, sf_dir):
     before = rotated(spark, sf_dir)
     return kv.compaction_stats(before, kv.compact(before, NOW_MS))
@@ -304,6 +367,11 @@ def ring_tokens(spark, sf_dir):
     return ring.tokens(nodes(spark, sf_dir))
 
 
+@query("SELECT count(*) AS node_count, 128 AS virtual_nodes, count(*) * 128 AS tokens FROM region")
+def ring_counts(spark, sf_dir):
+    return ring.counts(nodes(spark, sf_dir))
+
+
 @query(f"WITH {RING_SQL}, {ORDERS_SQL}, p AS ({SUCCESSOR.format('o_orderkey', 'ring')}) SELECT * FROM p")
 def ring_primary(spark, sf_dir):
     return ring.primary(order_keys(spark, sf_dir), ring.tokens(nodes(spark, sf_dir)), F.col("k")).drop("k")
@@ -400,36 +468,75 @@ def repl_recover(spark, sf_dir):
     return replication.recover(history, watermarks(spark, sf_dir).select("stream", "last"), ["stream"])
 
 
-NODE_STATUS = "CASE WHEN r_name = 'ASIA' THEN false ELSE true END AS available, CAST(r_regionkey * 10 AS INT) AS delay_ms"
+# Nodes come and go from one mutation to the next.
+DOWN, DELAY = "(o_orderkey + r_regionkey) % 11 = 0", "(o_orderkey * 7 + r_regionkey * 13) % 40"
 
 
 def acked(mode: str):
     def run(spark, sf_dir):
-        keys = customer_keys(spark, sf_dir)
-        placed = ring.placement(keys, ring.tokens(nodes(spark, sf_dir)), 3, F.col("k")).select(F.col("c_custkey").alias("mutation"), "replica", "node_id")
-        status = table(spark, sf_dir, "region").selectExpr("r_name AS id", "r_name <> 'ASIA' AS available", "CAST(r_regionkey * 10 AS INT) AS delay_ms")
-        return replication.acknowledge(keys.select(F.col("c_custkey").alias("mutation")), placed, status, 25, mode)
+        orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderkey AS mutation", "concat('key-', o_custkey) AS key")
+        placed = ring.placement(orders.select("mutation", "key"), ring.tokens(nodes(spark, sf_dir)), 3, F.col("key")).drop("key")
+        # Five regions: a state per mutation and node.
+        status = orders.join(F.broadcast(table(spark, sf_dir, "region"))).selectExpr("mutation", "r_name AS id", f"NOT ({DOWN}) AS available", f"{DELAY} AS delay_ms")
+        return replication.acknowledge(orders.select("mutation", "key"), placed, status, 35, mode)
 
     return run
 
 
 for _mode in ("primary", "all"):
     _QUERIES[f"repl_ack_{_mode}"] = acked(_mode)
-    _SQL[f"repl_ack_{_mode}"] = f"""{PLACED_SQL}, q AS (SELECT c_custkey AS mutation, replica, available, available AND delay_ms > 25 AS late FROM p
-  JOIN (SELECT r_name, {NODE_STATUS} FROM region) ON node_id = r_name WHERE replica < 3),
-c AS (SELECT mutation, count(*) AS replicas, count(*) FILTER (available AND NOT late) AS acks, count(*) FILTER (NOT available) AS unavailable, count(*) FILTER (late) AS timed_out,
-  bool_or(replica = 0 AND available AND NOT late) AS accepted FROM q GROUP BY mutation)
-SELECT *, accepted AND acks >= {'1' if _mode == 'primary' else 'replicas'} AS acknowledged FROM c"""
-
-
-@query()
+    _SQL[f"repl_ack_{_mode}"] = f"""WITH {RING_SQL}, k AS (SELECT key, {ring_sql('key')} AS h FROM (SELECT DISTINCT 'key-' || o_custkey AS key FROM orders)),
+n AS (SELECT key, node_id, min(CASE WHEN token >= h THEN token END) AS nxt, min(token) AS low FROM k, ring GROUP BY ALL),
+p AS (SELECT * FROM (SELECT key, node_id, row_number() OVER (PARTITION BY key ORDER BY nxt IS NULL, coalesce(nxt, low), node_id) - 1 AS replica FROM n) WHERE replica < 3),
+q AS (SELECT o_orderkey AS m, p.*, {DOWN} AS down, NOT ({DOWN}) AND {DELAY} > 35 AS late FROM orders JOIN p ON p.key = 'key-' || o_custkey JOIN region ON r_name = node_id),
+a AS (SELECT m, key, down AS pd, late AS pl FROM q WHERE replica = 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY m) AS seq FROM a WHERE NOT pd AND NOT pl),
+c AS (SELECT q.*, seq, (SELECT min(b2.seq) FROM b b2 JOIN q q2 ON q2.m = b2.m WHERE q2.key = q.key AND q2.node_id = q.node_id AND (q2.down OR q2.late)) AS miss FROM q JOIN b USING (m)),
+d AS (SELECT m, count(*) FILTER (NOT down AND NOT late AND (miss IS NULL OR miss > seq)) AS acks, count(*) FILTER (down) AS un, count(*) FILTER (late) AS ti,
+  count(*) FILTER (NOT down AND NOT late AND miss < seq) AS gaps, any_value(seq) AS seq FROM c GROUP BY m),
+w AS (SELECT {'1' if _mode == 'primary' else '3'} AS need)
+SELECT a.m AS mutation, coalesce(acks >= need, false) AS acknowledged, coalesce(seq, 0) AS sequence, coalesce(acks, 0) AS acknowledgements, need AS required,
+  coalesce(un, CAST(pd AS BIGINT)) AS unavailable, coalesce(ti, CAST(pl AS BIGINT)) AS timed_out, coalesce(gaps, 0) AS sequence_gaps FROM a LEFT JOIN d ON a.m = d.m, w"""
+
+
+@query("""WITH z AS (SELECT l_partkey AS key, list({'p': CAST(l_suppkey AS VARCHAR), 'seq': CAST(l_linenumber AS BIGINT), 'put': l_returnflag <> 'R', 'owner': NULL::VARCHAR, 'marks': MAP {}::MAP(VARCHAR, BIGINT), 'c': [0, 0, 0, 0]::BIGINT[]}
+    ORDER BY l_shipdate, l_orderkey, l_suppkey, l_linenumber, l_returnflag = 'R') AS xs FROM lineitem GROUP BY l_partkey),
+r AS (SELECT key, list_reduce(list_prepend({'p': NULL::VARCHAR, 'seq': 0::BIGINT, 'put': false, 'owner': NULL::VARCHAR, 'marks': MAP {}::MAP(VARCHAR, BIGINT), 'c': [0, 0, 0, 0]::BIGINT[]}, xs), lambda s, x: list_transform(
+  [CASE WHEN x.seq <= coalesce(s.marks[x.p], 0) THEN 2 WHEN x.seq > coalesce(s.marks[x.p], 0) + 1 THEN 3 WHEN s.owner IS NOT NULL AND s.owner <> x.p THEN 4 ELSE 1 END], lambda k: {
+    'p': NULL::VARCHAR, 'seq': 0::BIGINT, 'put': false, 'owner': CASE WHEN k <> 1 THEN s.owner WHEN x.put THEN x.p END,
+    'marks': CASE WHEN k = 1 THEN map_concat(s.marks, MAP {x.p: x.seq}) ELSE s.marks END, 'c': list_transform(s.c, lambda n, i: n + CASE WHEN i = k THEN 1 ELSE 0 END)})[1]) AS s FROM z)
+SELECT key, s.owner AS owner, s.c[1] AS applied, s.c[2] AS duplicates, s.c[3] AS gaps, s.c[4] AS conflicts FROM r""")
 def repl_ownership(spark, sf_dir):
     """Keys (parts) written by several primaries (suppliers): who owns them and what was refused."""
     m = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("key"), F.col("l_suppkey").cast("string").alias("primary_id"), F.col("l_linenumber").cast("long").alias("seq"),
-        F.when(F.col("l_returnflag") == "R", 2).otherwise(1).alias("op"), F.lit(0).cast("long").alias("expires_at_ms"), "l_shipdate", "l_orderkey",
+        F.when(F.col("l_returnflag") == "R", 2).otherwise(1).alias("op"), F.lit(0).cast("long").alias("expires_at_ms"), "l_shipdate", "l_orderkey", "l_suppkey",
     )
-    return replication.own(m, NOW_MS, ["l_shipdate", "l_orderkey"])
+    return replication.own(m, NOW_MS, ["l_shipdate", "l_orderkey", "l_suppkey"])
+
+
+@query("SELECT o_orderkey AS stream, r_name AS node_id, CAST(5 AS BIGINT) AS latest, CASE WHEN r_regionkey <> o_orderkey % 5 THEN 5 - least(5, o_orderkey % 7) END AS lag, CASE WHEN r_regionkey = o_orderkey % 5 THEN 'not a replica' END AS error FROM orders, region")
+def repl_lag_placed(spark, sf_dir):
+    """Every region is asked about every order; one of them doesn't hold it."""
+    o, r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("stream")), table(spark, sf_dir, "region")
+    asked = o.join(F.broadcast(r)).select("stream", F.col("r_name").alias("node_id"), F.lit(5).cast("long").alias("latest"), "r_regionkey")  # five regions
+    placed = asked.where("r_regionkey <> stream % 5").select("stream", "node_id")
+    return replication.lag(asked.drop("r_regionkey"), o.select("stream", (F.col("stream") % 7).alias("applied")), ["stream"], placed).select("stream", "node_id", "latest", "lag", "error")
+
+
+@query(f"WITH {LOG_SQL}, l AS (SELECT key, arg_max(value, seq) AS value, arg_max(op, seq) AS op, arg_max(expires_at_ms, seq) AS e FROM log WHERE seq % 2 = 0 GROUP BY key) SELECT key, value FROM l WHERE op = 1 AND (e = 0 OR e > {NOW_MS})")
+def repl_get_from(spark, sf_dir):
+    """Two nodes that each hold half of the log; one of them is asked."""
+    rows = log(spark, sf_dir).withColumn("node_id", F.when(F.col("seq") % 2 == 0, "even").otherwise("odd"))
+    held = kv.last_records(rows.where("node_id = 'even'")).where("op = 1")
+    return replication.get_from(held, spark.createDataFrame([("even", True), ("odd", False)], "id string, available boolean"), "even", NOW_MS)
+
+
+@query("SELECT n_name AS id, 'id exceeds 255 bytes' AS error FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT n_name, 'negative delay' FROM nation WHERE n_nationkey % 7 = 0 UNION ALL SELECT NULL, 'factor must be 1 to 3 and fit the nodes'")
+def repl_cluster_errors(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_name", F.when(F.col("n_nationkey") % 5 == 0, F.repeat(F.lit("x"), 256)).otherwise(F.col("n_name")).alias("id"), F.when(F.col("n_nationkey") % 7 == 0, -1).otherwise(0).alias("delay_ms"))
+    found = replication.cluster_errors(n.select(F.concat("n_name", F.when(F.col("id") != F.col("n_name"), F.col("id")).otherwise("")).alias("id"), "delay_ms"), 4)
+    return found.select(F.regexp_replace("id", "x{256}$", "").alias("id"), "error")
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS key, 'repeated key' AS error FROM (SELECT o_custkey AS c_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)""")
@@ -482,13 +589,15 @@ def coverage_diff(spark, sf_dir):
     return evidence.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("""WITH x AS (SELECT * FROM (SELECT DISTINCT event_type FROM events), (SELECT DISTINCT user_id FROM events)) SELECT event_type, user_id, 'missing' AS problem FROM x
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("""WITH x AS (SELECT * FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type), (SELECT DISTINCT user_id FROM events)) SELECT event_type, user_id, 'missing' AS problem FROM x
 WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = x.event_type AND e.user_id = x.user_id AND e.value > 400)""")
 def contention_coverage(spark, sf_dir):
     """Every event type for every user is expected with a value over 400."""
     e = table(spark, sf_dir, "events")
-    # The types are a handful; their product with the users grows with the users alone.
-    expected = e.select("user_id").distinct().join(F.broadcast(e.select("event_type").distinct()))
+    expected = e.select("user_id").distinct().withColumn("event_type", F.explode(F.array(*map(F.lit, EVENT_TYPES))))
     return evidence.coverage(expected, e.where("value > 400").select("event_type", "user_id").distinct(), ["event_type", "user_id"])
 
 
@@ -509,32 +618,115 @@ WHERE a.event_type = 'purchase' AND b.event_type = 'view'""")
 def resource_window(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     results = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    captures = e.where("event_type = 'view'").select(F.col("event_id").alias("captured_id"), F.col("user_id").alias("_u"), F.col("ts").alias("captured"))
-    near = F.col("captured").between(F.col("ts"), F.col("ts") + F.expr("INTERVAL 300 SECONDS"))
-    return results.join(captures, (F.col("user_id") == F.col("_u")) & near).select("event_id", "captured_id")
+    captures = e.where("event_type = 'view'").select(F.col("event_id").alias("captured_id"), "user_id", "ts")
+    return evidence.within(results, captures, "user_id").select("event_id", "captured_id")
+
 
+RULES_SQL = {
+    "throughput": "o_orderkey % 5 = 0", "errors_over_operations": "o_orderkey % 7 = 0", "percentile_order": "o_orderkey % 11 = 0", "threads_over_connections": "o_orderkey % 13 = 0",
+    "no_bound": "o_orderkey % 17 = 0", "durability_kind": "o_orderkey % 19 = 0", "git_sha": "o_orderkey % 23 = 0", "timestamp_utc": "o_orderkey % 29 = 0", "warmup_without_preload": "o_orderkey % 31 = 0",
+    "port": "o_orderkey % 37 = 0", "host": "o_orderkey % 41 = 0", "read_ratio": "o_orderkey % 43 = 0", "value_size_limit": "o_orderkey % 47 = 0",
+}
 
-@query("""SELECT o_orderkey AS trial, 'throughput' AS rule FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'errors' FROM orders WHERE o_orderkey % 7 = 0""")
+
+@query(" UNION ALL ".join(f"SELECT o_orderkey AS trial, '{rule}' AS rule FROM orders WHERE {where}" for rule, where in RULES_SQL.items()))
 def result_validation(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    k, one = F.col("o_orderkey"), F.lit(1.0)
-    r = o.select(
-        k.alias("trial"), F.lit(100).alias("operations"), F.lit(2.0).alias("seconds"), F.when(k % 5 == 0, 51.0).otherwise(50.0).alias("ops_per_second"), one.alias("p50"), one.alias("p95"), one.alias("p99"),
-        one.alias("max"), F.when(k % 7 == 0, 101).otherwise(0).alias("errors"),
+    """Orders as results; one in a few breaks each rule."""
+    bad = {rule: F.expr(where) for rule, where in RULES_SQL.items()}
+    either = lambda rule, wrong, right: F.when(bad[rule], wrong).otherwise(right)
+    one = F.lit(1.0)
+    return evidence.result_violations(table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("trial"), F.lit(100).cast("long").alias("operations"), F.lit(2.0).alias("seconds"), either("throughput", 51.0, 50.0).alias("ops_per_second"),
+        either("percentile_order", 2.0, 1.0).alias("p50"), one.alias("p95"), one.alias("p99"), one.alias("max"), either("errors_over_operations", 101, 0).cast("long").alias("errors"),
+        either("threads_over_connections", 9, 4).cast("long").alias("threads"), F.lit(8).cast("long").alias("connections"), either("no_bound", 0, 100).cast("long").alias("request_bound"),
+        F.lit(0).cast("long").alias("duration_bound_s"), either("durability_kind", "often", "always").alias("durability"), either("git_sha", "abc", "a" * 40).alias("git_sha"),
+        either("timestamp_utc", "2024-02-30T00:00:00Z", "2024-02-29T00:00:00Z").alias("timestamp_utc"), (~bad["warmup_without_preload"]).alias("preload"), F.lit(5).cast("long").alias("warmup_requests"),
+        F.lit(10).cast("long").alias("key_count"), either("port", 70000, 7001).cast("long").alias("port"), either("host", " h", "h").alias("host"), either("read_ratio", 1.5, 0.8).alias("read_ratio"),
+        either("value_size_limit", 1 << 25, 128).cast("long").alias("value_size"),
+    ))
+
+
+@query("""SELECT user_id, 'p99' AS field FROM events WHERE user_id % 7 = 0 GROUP BY user_id UNION ALL SELECT user_id, 'operations' FROM events WHERE user_id % 11 = 0 GROUP BY user_id""")
+def latency_recomputed(spark, sf_dir):
+    """Users as results whose percentiles are those of their events, but for some."""
+    e = table(spark, sf_dir, "events")
+    said = evidence.latency_summary(e, ["user_id"], "value").withColumn("operations", F.col("n") + F.when(F.col("user_id") % 11 == 0, 1).otherwise(0)).withColumn("p99", F.col("p99") * F.when(F.col("user_id") % 7 == 0, 1.001).otherwise(1.000001))
+    return evidence.recomputed(e.select("user_id", "value"), said.drop("n"), "user_id", "value")
+
+
+@query("""SELECT o_orderkey, 'priority' AS field FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'cust' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey, 'price' FROM orders WHERE o_orderkey % 11 = 0
+UNION ALL SELECT -1 - o_orderkey, '(no result)' FROM orders WHERE o_orderkey % 13 = 0""")
+def row_against_document(spark, sf_dir):
+    """Orders as documents and, in text, as rows: some fields differ, some rows have no document."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    rows = o.select(
+        "o_orderkey", F.when(k % 5 == 0, "other").otherwise(F.col("o_orderpriority")).alias("priority"), F.concat(F.when(k % 7 == 0, "0").otherwise(""), F.col("o_custkey").cast("string")).alias("cust"),
+        F.concat(F.when(k % 11 == 0, " ").otherwise(""), (F.col("o_totalprice") * 1.000001).cast("string")).alias("price"),
+    )
+    rows = rows.unionByName(rows.where("o_orderkey % 13 = 0").withColumn("o_orderkey", -1 - k))
+    return evidence.differing_fields(rows, o, "o_orderkey", {"priority": "o_orderpriority"}, {"cust": "o_custkey"}, {"price": "o_totalprice"})
+
+
+@query("""SELECT i // 1000 AS thread, i % 1000 AS op_no, CASE WHEN i % 10 = 0 THEN 'replace' ELSE 'find' END AS kind, 'contention-key-' || ((i // 1000 * 1009 + i % 1000 * 17) % 64) AS key FROM range(4000) g(i)""")
+def contention_workload(spark, sf_dir):
+    return evidence.contention(spark, 4, 1000, 64, False)
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) SELECT CASE WHEN i % 2 = 0 THEN 'same-key' ELSE 'distributed-key' END AS workload, 1 AS shards, (i + 1) // 2 AS repetition,
+  unnest(list_filter([CASE WHEN i % 5 = 0 THEN 'throughput' END, CASE WHEN i % 7 = 0 THEN 'configuration' END], lambda r: r IS NOT NULL)) AS rule FROM x WHERE i <= 20
+UNION ALL SELECT unnest(['same-key', 'distributed-key']), 2, r, 'missing' FROM range(1, 11) g(r)""")
+def contention_validation(spark, sf_dir):
+    """Twenty nations as runs on one shard; those on two are missing."""
+    n = kv.assign_sequence(table(spark, sf_dir, "nation").select("n_nationkey"), ["n_nationkey"]).where("seq <= 20")
+    i = F.col("seq")
+    rows = n.select(
+        F.when(i % 2 == 0, "same-key").otherwise("distributed-key").alias("workload"), F.lit(1).cast("long").alias("shards"), F.when(i % 7 == 0, 5).otherwise(4).cast("long").alias("threads"), F.lit(64).cast("long").alias("keys"),
+        F.lit(4000).cast("long").alias("operations"), F.floor((i + 1) / 2).cast("long").alias("repetition"), F.lit(2.0).alias("seconds"), F.when(i % 5 == 0, 2001.0).otherwise(2000.0).alias("ops_per_second"), i.alias("checksum"),
     )
-    return evidence.result_violations(r)
+    return evidence.contention_violations(rows, [1, 2], 4, 64, 1000, 10)
+
+
+@query("""SELECT s_suppkey AS run, s_suppkey % 5 > 0 AS all_excess_rejected, s_suppkey % 7 > 0 AS no_excess_served, s_suppkey % 3 > 0 AS threads_bounded, true AS fds_bounded, s_suppkey % 11 > 0 AS recovered,
+  s_suppkey % 2 > 0 AS threads_near_base, true AS fds_near_base, s_suppkey % 5 > 0 AND s_suppkey % 7 > 0 AND s_suppkey % 3 > 0 AND s_suppkey % 11 > 0 AND s_suppkey % 2 > 0 AS passed FROM supplier""")
+def overload_validation(spark, sf_dir):
+    k = F.col("s_suppkey")
+    either = lambda n, wrong, right: F.when(k % n == 0, wrong).otherwise(right)
+    return evidence.overload_checks(table(spark, sf_dir, "supplier").select(
+        k.alias("run"), F.lit(16).alias("excess"), either(5, 15, 16).alias("rejected"), either(7, 1, 0).alias("excess_served"), F.lit(7).alias("threads_base"), either(3, 42, 41).alias("threads_peak"),
+        F.lit(32).alias("connection_cap"), F.lit(6).alias("fds_base"), F.lit(40).alias("fds_peak"), (k % 11 > 0).alias("recovered"), either(2, 10, 9).alias("threads_end"), F.lit(6).alias("fds_end"),
+    ))
+
+
+@query("""SELECT c_custkey AS pid, c_custkey AS "VmRSS", c_custkey * 2 AS "VmHWM", CASE WHEN c_custkey % 5 > 0 THEN c_custkey * 3 END AS "VmPeak", CAST(7 AS BIGINT) AS "Threads", CASE WHEN c_custkey % 5 > 0 THEN []::VARCHAR[] ELSE ['VmPeak'] END AS missing FROM customer""")
+def process_status(spark, sf_dir):
+    """Status texts of processes, line by line; every fifth lacks a field."""
+    k = F.col("c_custkey").cast("string")
+    line = lambda name, factor: F.concat(F.lit(f"{name}:\t  "), (F.col("c_custkey") * factor).cast("string"), F.lit(" kB"))
+    texts = F.array_compact(F.array(F.concat(F.lit("Name:\tnode-"), k), line("VmRSS", 1), line("VmHWM", 2), F.when(F.col("c_custkey") % 5 > 0, line("VmPeak", 3)), F.lit("Threads:\t7")))
+    return evidence.proc_status(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), F.explode(texts).alias("value")))
+
+
+@query("""SELECT event_id, replace(replace(replace(t, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') AS json, '"' || replace(t, '"', '""') || '"' AS csv FROM (SELECT event_id, props || chr(10) || '\\' || event_type AS t FROM events)""")
+def escapes(spark, sf_dir):
+    text = F.concat("props", F.lit("\n\\"), "event_type")
+    return table(spark, sf_dir, "events").select("event_id", evidence_io.json_escape(text).alias("json"), evidence_io.csv_escape(text).alias("csv"))
+
+
+@query("""SELECT c_custkey AS file, f.field, CASE f.field WHEN 'pid' THEN CAST(c_custkey AS VARCHAR) WHEN 'Threads' THEN '7' ELSE CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END END AS value,
+  CASE WHEN f.field = 'system' AND c_custkey % 3 = 0 THEN 'empty' END AS error FROM customer, (SELECT unnest(['pid', 'Threads', 'system']) AS field) f""")
+def resource_fields(spark, sf_dir):
+    """Resource files of three lines, in both forms a line may have."""
+    k = F.col("c_custkey").cast("string")
+    lines = F.array(F.concat(F.lit("pid="), k), F.lit("Threads:\t7"), F.concat(F.lit("system="), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment"))))
+    return evidence_io.resource_fields(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"), F.explode(lines).alias("value")))
 
 
 @query("SELECT c_custkey AS case_order, 'trial' AS rule FROM customer WHERE c_custkey % 10 = 3")
 def manifest_validation(spark, sf_dir):
     """Customers as manifest rows; in order and unique, some with trial zero."""
-    from pyspark.sql import Window
-
-    c = table(spark, sf_dir, "customer").withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("c_custkey")))
-    base = F.min("c_custkey").over(Window.partitionBy(F.lit(0)))
-    m = c.select(F.lit("run").alias("run_id"), (F.col("c_custkey") - base + 1).cast("int").alias("case_order"), F.lit("axis").alias("experiment"), F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("variant"), F.when(F.col("c_custkey") % 10 == 3, 0).otherwise(1).alias("trial"), F.lit("ok").alias("status"), "c_custkey")
-    bad = evidence.manifest_violations(m)
-    return bad.join(m.select("case_order", "c_custkey"), "case_order").select(F.col("c_custkey").alias("case_order"), "rule")
+    c = kv.assign_sequence(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"])
+    m = c.select(F.lit("run").alias("run_id"), F.col("seq").alias("case_order"), F.lit("axis").alias("experiment"), F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("variant"), F.when(F.col("c_custkey") % 10 == 3, 0).otherwise(1).alias("trial"), F.lit("ok").alias("status"), "c_custkey")
+    return evidence.manifest_violations(m).join(m.select("case_order", "c_custkey"), "case_order").select(F.col("c_custkey").alias("case_order"), "rule")
 
 
 @query("""SELECT * FROM (SELECT 'connections' AS experiment, unnest(['1', '10']) AS variant UNION ALL SELECT 'durability', unnest(['always', 'none', 'periodic'])), (SELECT CAST(unnest([1, 2, 3]) AS INT) AS trial)""")
@@ -548,10 +740,42 @@ def matrix_cases(spark, sf_dir):
 @query(f"WITH {ROTATED_SQL} SELECT CAST(segment_id AS BIGINT) AS segment_id, seq, op, key, value, expires_at_ms, CAST(size AS BIGINT) AS encoded_size FROM rot")
 def log_round_trip(spark, sf_dir):
     """Written as a binary log and read back, both checksums of every record verified."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = tempfile.mkdtemp(prefix="kvlog-", dir=shared.removeprefix("file://") if os.path.isdir(shared.removeprefix("file://")) else None)
-    kvlog.write_log(rotated(spark, sf_dir), path)
-    return kvlog.read_log(spark, path).select("segment_id", "seq", "op", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "expires_at_ms", "encoded_size")
+    with durable.scratch(spark, "kvlog") as path:
+        kvlog.write_log(rotated(spark, sf_dir), path)
+        read = kvlog.read_ordered(spark, path).select("segment_id", "seq", "op", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "expires_at_ms", "encoded_size")
+        return durable.cut(read)
+
+
+@query(f"""WITH {LOG_SQL}, h AS (SELECT *, row_number() OVER (ORDER BY seq) <= (SELECT count(*) // 2 FROM log) AS early FROM log) SELECT (SELECT count(*) FROM log) AS records, (SELECT CAST(sum(seq) AS BIGINT) FROM log) AS sequences,
+  (SELECT CAST(sum(44 + strlen(key) + strlen(value)) AS BIGINT) FROM log) AS bytes, true AS complete, CAST(0 AS BIGINT) AS out_of_order""")
+def log_appended(spark, sf_dir):
+    """Half of the log is written, the rest appended: what the segments then hold."""
+    rows = log(spark, sf_dir).withColumn("size", kv.encoded_size(F.col("key"), F.col("value")))
+    half = rows.count() // 2
+    with durable.scratch(spark, "kvlog") as path:
+        kvlog.write_log(kv.rotate(rows.where(F.col("seq") <= half), SEGMENT), path)
+        kvlog.append_log(rows.where(F.col("seq") > half).drop("size"), path, SEGMENT)
+        read, report = kvlog.read_ordered(spark, path), kvlog.tail_report(spark, path)
+        totals = read.agg(F.count("*").alias("records"), F.sum("seq").alias("sequences"))
+        sizes = report.agg(F.sum("valid_bytes").alias("bytes"), F.bool_and(F.col("status") == "complete").alias("complete"))
+        wrong = kvlog.sequence_errors(read).agg(F.count("*").alias("out_of_order"))
+        return durable.cut(totals.join(F.broadcast(sizes)).join(F.broadcast(wrong)))  # one row each
+
+
+@query("""WITH l AS (SELECT event_id // 100 AS segment_id, event_id % 100 AS record_offset, CASE WHEN event_id % 50 = 20 THEN event_id - 3 ELSE event_id + 1 END AS seq FROM events),
+p AS (SELECT *, max(seq) OVER (PARTITION BY segment_id ORDER BY record_offset ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING) AS b FROM l) SELECT segment_id, record_offset, seq FROM p WHERE seq <= b""")
+def log_order_errors(spark, sf_dir):
+    """A log in which some records fall back behind the one before."""
+    e = F.col("event_id")
+    return kvlog.sequence_errors(table(spark, sf_dir, "events").select(F.floor(e / 100).alias("segment_id"), (e % 100).alias("record_offset"), F.when(e % 50 == 20, e - 3).otherwise(e + 1).alias("seq")))
+
+
+@query("SELECT event_id, 'node-' || user_id AS primary_id, event_id + 1 AS seq, CAST(user_id AS VARCHAR) AS key, props AS value, 48 + strlen('node-' || user_id) + strlen(CAST(user_id AS VARCHAR)) + strlen(props) AS size FROM events")
+def message_round_trip(spark, sf_dir):
+    """Replication messages, encoded and decoded again with both checksums."""
+    m = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("node-"), F.col("user_id").cast("string")).alias("primary_id"), (F.col("event_id") + 1).alias("seq"), F.lit(1).alias("op"), F.lit(0).cast("long").alias("expires_at_ms"), F.col("user_id").cast("string").cast("binary").alias("key"), F.col("props").cast("binary").alias("value"))
+    back = kvlog.decode_messages(kvlog.encode_messages(m, "event_id"), "event_id")
+    return back.select("event_id", "primary_id", "seq", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "size")
 
 
 @query("SELECT event_id + 1 AS request_id, CAST(user_id AS VARCHAR) AS key, props AS value FROM events")
@@ -571,7 +795,7 @@ def frame_round_trip(spark, sf_dir):
 def stream_snapshot(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet" if os.path.isdir(f"{sf_dir}/events.parquet") else f"{sf_dir}/events*.parquet")
-    last = stream.drain(stream.latest(as_log(source)), "complete")
+    last = stream.drain(stream.latest(as_log(source)), "complete", ["key"])
     return plain(last.where(kv.live(NOW_MS)))
 
 
@@ -583,7 +807,7 @@ def stream_replication(spark, sf_dir):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return stream.drain(stream.replicate(source.select(F.col("l_orderkey").alias("stream"), F.col("l_linenumber").cast("long").alias("seq"), arrival.alias("arrival"))), "update")
+        return stream.drain(stream.replicate(source.select(F.col("l_orderkey").alias("stream"), F.col("l_linenumber").cast("long").alias("seq"), arrival.alias("arrival"))), "update", ["stream"])
     finally:
         if before is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

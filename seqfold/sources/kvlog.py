@@ -1,14 +1,18 @@
 """The binary log as a Spark data source, ``spark.read.format("kvlog").load(dir)`` and ``df.write.format("kvlog")``.
 
-One partition per segment file. ``mode`` failfast (default) raises on corruption; permissive gives a row with
-``error_code``. A tail cut off in the active (last) segment is dropped either way. Order across segments is checked
-by ``sequence_errors``.
+One partition per segment file, read through a memory map in Arrow batches. ``mode`` failfast (default) raises on
+corruption; permissive gives a row with ``error_code``. A tail cut off in the active (last) segment is dropped either
+way; ``report`` gives, instead of records, one row per segment: how far it is valid and what follows. Order across
+segments is checked by ``sequence_errors``, and by ``read_ordered`` before anything is returned. Paths must be on a
+mount that all executors share.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
 import re
+import shutil
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from seqfold.sources import codec
+from seqfold.sources.durable import local_path, visible
 
 SCHEMA = "segment_id long, record_offset long, seq long, op int, key binary, value binary, expires_at_ms long, header_size int, encoded_size long, payload_crc long, error_code string"
 NAME = re.compile(r"segment-(\d{20})\.fkv")
@@ -24,7 +29,7 @@ NAME = re.compile(r"segment-(\d{20})\.fkv")
 def segments(path: str) -> list[tuple[int, str]]:
     """(id, file) of a log directory in order; names and kinds that don't belong to it are corruption."""
     found: dict[int, str] = {}
-    for name in os.listdir(path):
+    for name in os.listdir(local_path(path)):
         if not name.startswith("segment-") or not name.endswith(".fkv"):
             continue
         m, file = NAME.fullmatch(name), os.path.join(path, name)
@@ -42,26 +47,59 @@ class _Segment(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.permissive = options["path"], options.get("mode", "failfast") == "permissive"
+        self.path, self.mode = local_path(options["path"]), options.get("mode", "failfast")
+        if self.mode not in ("failfast", "permissive", "report"):
+            raise ValueError(f"unknown mode: {self.mode}")
 
     def partitions(self):
         listed = segments(self.path)
         return [_Segment(i, f, i == listed[-1][0]) for i, f in listed]
 
-    def read(self, partition) -> Iterator[tuple]:
-        if partition is None:
-            return
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+        for row in self._rows(partition) if partition is not None else ():
+            rows.append(row)
+            size += 64 + len(row[5] or b"")
+            if size > 1 << 22:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, partition) -> Iterator[tuple]:
+        nothing, end, status = (None,) * 8, 0, "complete"
         with open(partition.file, "rb") as f:
-            data = f.read()
-        for at, r, error in codec.read_segment(data, partition.active):
-            if r is not None:
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""
+            for at, r, error in codec.read_segment(data, partition.active):
+                if r is None:
+                    status = error
+                    if self.mode == "failfast" and error != "truncated":
+                        raise codec.CodecError(f"{error} in segment {partition.segment_id} at {at}")
+                    if self.mode == "permissive" and error != "truncated":
+                        yield partition.segment_id, at, *nothing, error
+                    continue
+                end = at + r.encoded_size
+                if self.mode == "report":
+                    continue
                 if r.seq >= 1 << 63 or r.expires_at_ms >= 1 << 63:
                     raise OverflowError("sequence or deadline beyond a long")
                 yield partition.segment_id, at, r.seq, r.op, r.key, r.value, r.expires_at_ms, r.header_size, r.encoded_size, r.payload_crc, None
-            elif error != "truncated":
-                if not self.permissive:
-                    raise codec.CodecError(f"{error} in segment {partition.segment_id} at {at}")
-                yield partition.segment_id, at, None, None, None, None, None, None, None, None, error
+        if self.mode == "report":
+            yield partition.segment_id, end, *nothing, status
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    arrow = arrow_schema(SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), arrow)], schema=arrow)
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """A flat schema of this module in Arrow's terms; workers have no session to parse it with."""
+    return pa.schema([(name, _KINDS[kind]) for name, kind in (field.split() for field in ddl.split(","))])
 
 
 class _Done(WriterCommitMessage):
@@ -72,11 +110,12 @@ class _Done(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     """A file per segment id of the rows; each is written aside and renamed once all tasks have succeeded.
 
-    The rows of a segment must be in one partition, in order of their sequence.
+    The rows of a segment must be in one partition, in order of their sequence. With the option ``continue`` rows of
+    the active segment go on at its end: its file is copied, extended and put in its place at once.
     """
 
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.going_on = local_path(options["path"]), options.get("continue", "false") == "true"
 
     def write(self, rows) -> _Done:
         os.makedirs(self.path, exist_ok=True)
@@ -96,10 +135,17 @@ class _Writer(DataSourceWriter):
 
     def commit(self, messages) -> None:
         pairs = [x for m in messages if m for x in m.files]
-        if len({f for _, f in pairs}) != len(pairs) or any(os.path.exists(f) for _, f in pairs):
+        if len({f for _, f in pairs}) != len(pairs) or (not self.going_on and any(os.path.exists(f) for _, f in pairs)):
             self.abort(messages)
             raise FileExistsError("a segment would be written twice")
-        for temporary, final in pairs:
+        for temporary, final in sorted(pairs, key=lambda p: p[1]):
+            if os.path.exists(final):  # the active segment
+                with open(f"{temporary}.whole", "wb") as out:
+                    for part in (final, temporary):
+                        with open(part, "rb") as f:
+                            shutil.copyfileobj(f, out)
+                os.remove(temporary)
+                temporary = f"{temporary}.whole"
             os.rename(temporary, final)
 
     def abort(self, messages) -> None:
@@ -125,18 +171,53 @@ class KvLog(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    environment = spark.sparkContext.environment
-    if root not in environment.get("PYTHONPATH", "").split(":"):
-        environment["PYTHONPATH"] = ":".join(filter(None, [root, environment.get("PYTHONPATH")]))
+    visible(spark)
     spark.dataSource.register(KvLog)
 
 
 def write_log(rotated: DataFrame, path: str) -> None:
-    """Write (segment_id, seq, op, key, value, expires_at_ms) as a log."""
+    """Write (segment_id, seq, op, key, value, expires_at_ms) as a new log."""
+    _write(rotated, path, "false")
+
+
+def _write(rotated: DataFrame, path: str, going_on: str) -> None:
     register(rotated.sparkSession)
     rows = rotated.select("segment_id", "seq", "op", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "expires_at_ms")
-    rows.repartition("segment_id").sortWithinPartitions("segment_id", "seq").write.format("kvlog").mode("append").save(path)
+    rows.repartition("segment_id").sortWithinPartitions("segment_id", "seq").write.format("kvlog").option("continue", going_on).mode("append").save(path)
+
+
+def append_log(log: DataFrame, path: str, max_bytes: int) -> None:
+    """Go on with an existing log: (seq, op, key, value, expires_at_ms) rotate on from the end of its active segment.
+
+    Sequences must rise above the log's last one; a tail cut off must be dealt with first.
+    """
+    from seqfold.operators import changelog
+
+    spark = log.sparkSession
+    at = tail_report(spark, path).orderBy(F.desc("segment_id")).first()
+    if at is None:
+        raise FileNotFoundError(path)
+    if at.status != "complete":
+        raise codec.CodecError(f"{at.status} in segment {at.segment_id} at {at.valid_bytes}")
+    last = read_log(spark, path).agg(F.max("seq")).first()[0] or 0
+    if log.where(F.col("seq") <= last).limit(1).count():
+        raise codec.CodecError("sequence_not_increasing")
+    sized = log.withColumn("size", changelog.encoded_size(F.col("key"), F.col("value")))
+    _write(changelog.rotate(sized, max_bytes, at.segment_id, at.valid_bytes), path, "true")
+
+
+def tail_report(spark: SparkSession, path: str) -> DataFrame:
+    """(segment_id, valid_bytes, status): complete, truncated (in the active segment) or what is corrupt after them."""
+    return read_log(spark, path, "report").select("segment_id", F.col("record_offset").alias("valid_bytes"), F.col("error_code").alias("status"))
+
+
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """The log, once it is known that its sequences rise throughout; otherwise an error."""
+    found = read_log(spark, path)
+    bad = sequence_errors(found).orderBy("segment_id", "record_offset").first()
+    if bad is not None:
+        raise codec.CodecError(f"sequence_not_increasing in segment {bad.segment_id} at {bad.record_offset}")
+    return found
 
 
 def read_log(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame:
@@ -188,3 +269,39 @@ def encode_frames(requests: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("request_id"), pa.array([codec.encode_frame(codec.Frame(*r)) for r in rows], pa.binary())], names=["request_id", "frame"])
 
     return requests.select(*names).mapInArrow(run, "request_id long, frame binary")
+
+
+MESSAGE = ["primary_id", "seq", "op", "expires_at_ms", "key", "value"]
+
+
+def encode_messages(messages: DataFrame, carried: str) -> DataFrame:
+    """(carried, message) of replication messages (carried, primary_id, seq, op, expires_at_ms, key, value)."""
+    register(messages.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(n).to_pylist() for n in MESSAGE))
+            yield pa.RecordBatch.from_arrays([b.column(carried), pa.array([codec.encode_message(codec.Message(*r)) for r in rows], pa.binary())], names=[carried, "message"])
+
+    return messages.select(carried, *MESSAGE).mapInArrow(run, f"{carried} long, message binary")
+
+
+def decode_messages(encoded: DataFrame, carried: str) -> DataFrame:
+    """The messages again, with their size; what can't be decoded has an ``error_code`` and nothing else."""
+    register(encoded.sparkSession)
+    schema = f"{carried} long, primary_id string, seq long, op int, expires_at_ms long, key binary, value binary, size long, error_code string"
+
+    def row(data):
+        try:
+            return (*codec.decode_message(data), len(data), None)
+        except codec.CodecError as e:
+            return (None,) * 6 + (len(data), e.code)
+
+    def run(batches):
+        arrow = arrow_schema(schema)
+        for b in batches:
+            if b.num_rows:
+                columns = zip(*(row(x) for x in b.column("message").to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column(carried), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:]))], schema=arrow)
+
+    return encoded.select(carried, "message").mapInArrow(run, schema)

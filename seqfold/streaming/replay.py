@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
+
+from seqfold.sources import durable
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -46,11 +47,23 @@ def replicate(messages: DataFrame) -> DataFrame:
     )
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what there is, and give its sink as a table."""
+def drain(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
+    """Run a stream over what there is, and give its result as a table in the shared folder.
+
+    Each batch is written as Parquet, under its number, so one that is run again replaces itself. Complete mode: the
+    last batch is the result. Update mode: of each key the row of the last batch that has it.
+    """
     spark: SparkSession = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
+    path = durable.fresh(spark, "stream")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    durable.delete(spark, f"{path}/state")
+    rows = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{path}/rows")
+    if mode == "complete":
+        return rows.join(F.broadcast(rows.agg(F.max("batch").alias("last"))), F.col("batch") == F.col("last")).drop("batch", "last")  # one row
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*").select(*stream.columns)

@@ -126,6 +126,125 @@ def test_replication_gap_duplicate_and_ownership(spark):
     assert (o.owner, o.applied, o.conflicts) == ("b", 2, 1)  # the expired owner yields, the live one doesn't
 
 
+NODES = "mutation long, id string, available boolean, delay_ms int"
+
+
+def outcome(spark, states, mode, timeout=10):
+    """Mutations of one key on nodes a (primary), b and c; ``states``: per mutation (available, delay) of each."""
+    mutations = spark.createDataFrame([(m, "k") for m in range(len(states))], "mutation long, key string")
+    placed = spark.createDataFrame([(m, r, "abc"[r]) for m in range(len(states)) for r in range(3)], "mutation long, replica int, node_id string")
+    nodes = spark.createDataFrame([(m, "abc"[r], *x) for m, xs in enumerate(states) for r, x in enumerate(xs)], NODES)
+    return [tuple(r)[1:] for r in replication.acknowledge(mutations, placed, nodes, timeout, mode).sort("mutation").collect()]
+
+
+def test_acknowledgement_counts_what_happened(spark):
+    up, down, slow = (True, 0), (False, 0), (True, 500)
+    # acknowledged, sequence, acknowledgements, required, unavailable, timed_out, gaps
+    assert outcome(spark, [[up, down, up]], "primary") == [(True, 1, 2, 1, 1, 0, 0)]
+    assert outcome(spark, [[up, down, up]], "all") == [(False, 1, 2, 3, 1, 0, 0)]
+    assert outcome(spark, [[up, up, down], [up, up, up]], "all") == [(False, 1, 2, 3, 1, 0, 0), (False, 2, 2, 3, 0, 0, 1)]
+    assert outcome(spark, [[up, slow, up]], "all") == [(False, 1, 2, 3, 0, 1, 0)]
+    # A primary that is down or late: one failure, no sequence; the next mutation takes the first.
+    assert outcome(spark, [[down, down, slow], [slow, up, up], [up, up, up]], "all") == [(False, 0, 0, 3, 1, 0, 0), (False, 0, 0, 3, 0, 1, 0), (True, 1, 3, 3, 0, 0, 0)]
+    with pytest.raises(ValueError):
+        outcome(spark, [[up, up, up]], "most")
+
+
+def test_recovery_and_reads_of_a_node(spark):
+    history = spark.createDataFrame([("s", 1), ("s", 2), ("t", 1), ("u", 3)], "stream string, seq long")
+    marks = spark.createDataFrame([("s", 1)], "stream string, last long")
+    placed = spark.createDataFrame([("s", "b"), ("u", "b"), ("t", "c")], "stream string, node_id string")
+    nodes = spark.createDataFrame([("b", True), ("c", False)], "id string, available boolean")
+    assert sorted(map(tuple, replication.recover(history, marks, ["stream"], "b", placed, nodes).collect())) == [("s", 2, 1, False), ("u", 0, 1, True)]
+    values = spark.createDataFrame([("b", "k", "v", 0), ("b", "old", "v", 5), ("c", "k", "w", 0)], "node_id string, key string, value string, expires_at_ms long")
+    assert [tuple(r) for r in replication.get_from(values, nodes, "b", 5).collect()] == [("k", "v")]
+    for node in ("c", "x"):
+        with pytest.raises(ValueError):
+            replication.recover(history, marks, ["stream"], node, placed, nodes)
+        with pytest.raises(ValueError):
+            replication.get_from(values, nodes, node, 5)
+
+
+def test_sequences_of_wide_rows(spark):
+    wide = spark.range(120_000).select("id", F.repeat(F.md5(F.col("id").cast("string")), 16).alias("pad")).repartition(30, "pad")
+    out = kv.assign_sequence(wide, ["id"])
+    assert out.agg(F.count("*"), F.count_if(F.col("seq") != F.col("id") + 1)).first() == (120_000, 0)
+
+
+def test_ring_refuses_bad_nodes_and_takes_any_key(spark):
+    rows = [("a", "h", 1), (" b", "h", 2), ("c\x01", "h", 3), ("d", "h h", 4), ("e", "", 5), ("f", "H", 1), ("", "x", 6), ("g", "y", 0)]
+    reasons = {r.id: r.reason for r in ring.invalid_nodes(spark.createDataFrame(rows, "id string, host string, port int")).collect()}
+    assert set(reasons) == {r[0] for r in rows} and reasons["a"] == "repeated endpoint" and reasons[" b"] == "untrimmed id"
+    nodes = spark.createDataFrame([("a", "h", 1), ("b", "h", 2)], "id string, host string, port int")
+    texts = ["", "x", "é漢" * 70, "y" * 3000, None]
+    keys = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, k string")
+    got = {r.i: r.node_id for r in ring.primary(keys, ring.tokens(nodes, 16), F.col("k")).collect()}
+    ordered = sorted((mixed(f"{n}#{v}".encode()), n) for n in "ab" for v in range(16))
+    assert got == {i: next((n for t, n in ordered if t >= mixed(x.encode())), ordered[0][1]) for i, x in enumerate(texts) if x is not None}
+    assert ring.primary(keys.limit(0), ring.tokens(nodes, 16), F.col("k")).count() == 0
+
+
+def test_streams_of_several_batches(spark, tmp_path):
+    from seqfold.streaming import replay
+
+    for k, rows in enumerate([[(1, 1, 1), (2, 2, 2)], [(1, 2, 3), (2, 1, 4)], [(1, 2, 5), (1, 4, 6)]]):
+        spark.createDataFrame(rows, "stream long, seq long, arrival long").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    source = spark.readStream.schema("stream long, seq long, arrival long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = replay.drain(replay.replicate(source), "update", ["stream"])
+        assert sorted(map(tuple, got.collect())) == [(1, 2, 2, 1, 1), (2, 1, 1, 0, 1)]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    log = source.select(F.col("stream").alias("key"), "seq")
+    assert sorted(map(tuple, replay.drain(replay.latest(log), "complete", ["key"]).collect())) == [(1, 4), (2, 2)]
+
+
+def test_log_goes_on_and_reports_its_tail(spark, tmp_path):
+    log = spark.createDataFrame([(i, 1, f"k{i}", "v" * i, 0) for i in range(1, 40)], LOG).withColumn("size", kv.encoded_size(F.col("key"), F.col("value")))
+    path = str(tmp_path / "log")
+    kvlog.write_log(kv.rotate(log.where("seq < 20"), 500), path)
+    kvlog.append_log(log.where("seq >= 20").drop("size"), path, 500)
+    together = {r.seq: r.segment_id for r in kv.rotate(log, 500).collect()}
+    assert {r.seq: r.segment_id for r in kvlog.read_ordered(spark, path).collect()} == together
+    with pytest.raises(codec.CodecError, match="sequence_not_increasing"):
+        kvlog.append_log(log.where("seq = 5").drop("size"), path, 500)
+    last = kvlog.segments(path)[-1][1]
+    whole = open(last, "rb").read()
+    open(last, "wb").write(whole[:-1])
+    report = {r.segment_id: (r.valid_bytes, r.status) for r in kvlog.tail_report(spark, path).collect()}
+    assert report[max(together.values())][1] == "truncated" and {s for _, s in report.values()} == {"complete", "truncated"}
+    with pytest.raises(codec.CodecError, match="truncated"):
+        kvlog.append_log(log.where("seq = 5").withColumn("seq", F.lit(99)).drop("size"), path, 500)
+
+
+def test_evidence_files(spark, tmp_path):
+    from seqfold.sources import evidence_io
+
+    (tmp_path / "c.csv").write_text("# host\nworkload,shards,threads,keys,operations,repetition,seconds,ops_per_second,checksum\nsame-key,1,4,64,4000,1,2.0,2000.0,7\n")
+    rows = evidence_io.read_contention(spark, str(tmp_path / "c.csv"))
+    assert [tuple(r) for r in evidence.contention_violations(rows, [1], 4, 64, 1000, 1).collect()] == [("distributed-key", 1, 1, "missing")]
+    names = [f.name for f in spark.createDataFrame([], evidence_io.RESULT_SCHEMA).schema]
+    good = {n: 1 for n in names} | {"latency_us": {"p50": 1, "p95": 2, "p99": 3, "max": 4}, "preload": True, "working_tree_dirty": False} | {n: "x: \"y\"" for n in evidence.TEXTS}
+    import json
+
+    text = json.dumps(good)
+    for name, body in (("good", text), ("twice", text[:-1] + ', "seed": 2}'), ("more", text[:-1] + ', "zzz": 2}'), ("less", json.dumps({k: v for k, v in good.items() if k != "seed"})), ("broken", text[:-1])):
+        (tmp_path / f"{name}.json").write_text(body)
+    got = {r.output_prefix: r.error for r in evidence_io.read_results(spark, str(tmp_path / "*.json")).collect()}
+    assert got == {"good": None, "twice": "repeated field", "more": "unknown field", "less": "missing field", "broken": "malformed"}
+    results = evidence_io.read_results(spark, str(tmp_path / "good.json")).drop("error", "output_prefix")
+    samples = spark.createDataFrame([("good", 1.5)], "output_prefix string, latency_us double")
+    evidence_io.write_trials(results, samples, str(tmp_path / "out"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        evidence_io.write_trials(results, samples, str(tmp_path / "out"))
+    raw = spark.createDataFrame([(bytearray(b"a\xff\xc3\xa9"),), (bytearray("é".encode()),)], "b binary")
+    assert [r[0] for r in raw.select(evidence_io.from_bytes(F.col("b"))).collect()] == ["a\\u00ffé", "é"]
+    odd = "a\x01\x1f\"\\/\t,"
+    r = spark.createDataFrame([(odd,)], "t string").select(evidence_io.json_escape(F.col("t")), evidence_io.csv_escape(F.col("t"))).first()
+    assert json.loads(f'"{r[0]}"') == odd and r[1] == '"' + odd.replace('"', '""') + '"'
+
+
 def test_requests_and_responses(spark):
     rows = [(2, 1, 0, None, True), (2, 1, 3, None, False), (5, 1, 9, 1, True), (5, 1, 9, 0, False), (7, 0, 0, None, True), (9, 1, 1, None, False)]
     df = spark.createDataFrame(rows, "o int, k int, v int, t long, want boolean")
