@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from seqfold.sources.durable import cut as cut, visible as visible
 
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` sees it.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,18 +32,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def in_ids(df: DataFrame, column: str, ids: DataFrame, most: int = 500_000) -> DataFrame:
     """Rows whose ``column`` may be among ``ids`` (one long column): exactly those while ``ids`` are few enough to
     broadcast (8 bytes each), else all rows. To be used before a join that needs no others."""
@@ -60,13 +46,6 @@ def small(side: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
-def visible(spark: SparkSession) -> None:
-    """Let Python workers that share this file system import the package; clusters ship it with the job."""
-    environment = spark.sparkContext.environment
-    if ROOT not in environment.get("PYTHONPATH", "").split(":"):
-        environment["PYTHONPATH"] = ":".join(filter(None, [ROOT, environment.get("PYTHONPATH")]))
-
-
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """One output row per input row: ``make()`` builds, on the executor, the function of one row's values.
 
