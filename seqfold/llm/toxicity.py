@@ -6,16 +6,18 @@ sentence probabilities then locate what offends. A word's features are itself an
 inflected and compounded forms of a stem count together.
 
 The fit uses a bounded sample of the labelled rows (``MAX_PER_CLASS`` of either label, the first by a hash of the
-id, and at most ``MAX_BYTES`` of text); scoring covers every text.
+id, and at most ``MAX_BYTES`` of text, filled in the order of another hash, whatever the texts' lengths); scoring
+covers every text.
 
 Defined results: a null or empty text is one empty sentence, whose probability is the bias alone; unlabelled rows
 and labels without a document aren't trained on, null labels neither; repeated rows are scored alike; with labels of
-only one kind the score is that class's smoothed rate; an empty table gives an empty one; other columns aren't read.
+only one kind the score is that class's smoothed rate, with none it is 0; an empty table gives an empty one; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from typing import NamedTuple
 
@@ -40,6 +42,7 @@ EDGE = ".,;:!?\"'()[]{}*_-«»¿¡“”‘’…"
 class Model(NamedTuple):
     bias: float
     weights: dict[str, float]
+    rate: float | None = None  # the score of every text, where there was nothing to learn from
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -57,8 +60,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.asarray(labels, float)
     n_pos = float(y.sum())
     if not 0 < n_pos < len(y):
-        rate = (n_pos + 0.5) / (len(y) + 1)
-        return Model(float(np.log(rate / (1 - rate))), {})
+        return Model(BIAS, {}, (n_pos + 0.5) / (len(y) + 1) if len(y) else 0.0)
     known: dict[str, list[str]] = {}
 
     def names(words: list[str]) -> set[str]:
@@ -105,31 +107,35 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 
 class Scorer:
-    """Sentence probabilities of a model; the weights of words met are kept, up to a bound."""
+    """Sentence probabilities of a model, as it was fitted: a feature counts once in a sentence.
+
+    The features of words met that have a weight are kept, up to a bound.
+    """
 
     def __init__(self, model: Model, keep: int = 200_000):
-        self.bias, self.weights, self.keep = model.bias, model.weights, keep
-        self.words: dict[str, float] = {}
+        self.bias, self.weights, self.keep, self.rate = model.bias, model.weights, keep, model.rate
+        self.words: dict[str, tuple[str, ...]] = {}
 
-    def word(self, word: str) -> float:
-        weight = sum(self.weights.get(f, 0.0) for f in set(features(word)))
+    def word(self, word: str) -> tuple[str, ...]:
         if len(self.words) >= self.keep:
             self.words.clear()
-        self.words[word] = weight
-        return weight
+        known = self.words[word] = tuple(f for f in features(word) if f in self.weights)
+        return known
+
+    def score(self, spans: list[tuple[int, int, float]]) -> float:
+        return noisy_or([p for _, _, p in spans]) if self.rate is None else self.rate
 
     def spans(self, text: str) -> list[tuple[int, int, float]]:
         known, word = self.words, self.word
         found = []
         for a, b in sentences(text):
-            z = self.bias
-            counted: set[str] = set()
+            hit: set[str] = set()
             for x in text[a:b].split():
-                if (weight := known.get(x)) is None:
-                    weight = word(x)
-                if weight and x not in counted:
-                    counted.add(x)
-                    z += weight
+                if (names := known.get(x)) is None:
+                    names = word(x)
+                if names:
+                    hit.update(names)
+            z = self.bias + sum(map(self.weights.__getitem__, sorted(hit))) if hit else self.bias
             found.append((a, b, 1 / (1 + float(np.exp(-max(-30.0, min(30.0, z)))))))
         return found
 
@@ -151,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, max_per_class: int = MAX_P
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))
     sizes = joined.groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("size")).collect()
     budget, taken = {0: max_bytes // 2, 1: max_bytes // 2}, []
-    for r in sorted(sizes, key=lambda r: (r["size"], r.doc_id)):
+    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):  # whatever their length
         if budget[r.toxic] >= r["size"]:
             budget[r.toxic] -= r["size"]
             taken.append((r.doc_id, r.toxic))
@@ -175,7 +181,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         def of(doc_id, text):
             spans = scorer.spans(text or "")
             hits = [{"start": a, "end": b, "probability": p} for a, b, p in spans if p >= threshold]
-            return doc_id, noisy_or([p for _, _, p in spans]), hits
+            return doc_id, scorer.score(spans), hits
 
         return of
 
