@@ -12,11 +12,11 @@ and the whole line, as hashed keys. Lines that lost a word at the same place and
 whole line that equals another's variant is one insertion apart. Per key only the earliest line is needed, so no
 pairs within a group are made; the pair with the earliest is then verified word by word.
 
-Defined results: lines with fewer than ``MIN_WORDS`` words go only if an earlier line is equal (in the query, whose SQL
-says so, they always stay); blank lines always stay; white space within a line doesn't count; a
+Defined results: lines with fewer than ``MIN_WORDS`` words are alike only if they are equal, as one word in so few
+makes another line; blank lines always stay; white space within a line doesn't count; a
 null text stays null and has no lines; a document that loses all lines stays with an empty text; rows without an id
 are passed on unchanged; rows that share an id are one document, from which a line number is removed as a whole; an
-empty table gives an empty one.
+empty table gives an empty one; columns named like those added (``dedup``: n_lines, n_removed) are replaced by them.
 """
 
 from __future__ import annotations
@@ -33,18 +33,16 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _hashes(words: Column) -> list[Column]:
-    # The number comes first: the hash of several values is chained.
-    return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2")]
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, h1, h2, k2) of every line with a word: where it is, and its hashes.
 
-
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, at, h1, h2, k0, k1, k2) of every line of ``least`` words: where it is, its hash, and its halves, which
-    are null under ``MIN_WORDS``.
-
-    A line meets any line one word apart by one of three halves: of its own length, or as the longer of the two.
+    From ``MIN_WORDS`` words on, h1 and h2 are those of its halves. A line meets any line one word apart by one of
+    three halves: of its own length, or as the longer of the two (k2). Shorter lines have no halves and a null k2.
     """
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    spaced = F.col("text")
+    for blank in common.BLANKS[1:].replace("\n", ""):
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split(spaced, "\n")).alias("at", "line"))
 
     def of(w: Column) -> Column:
         n = F.size(w)
@@ -53,10 +51,13 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
         last = lambda size: F.xxhash64(F.lit("last"), size, F.slice(w, n - size + 1, size))
         # Odd lengths: the first halves coincide; even ones: the last halves do.
         other = F.when(n % 2 == 1, last(n - 1 - less)).otherwise(first(less))
-        halves = (F.when(n >= MIN_WORDS, k).alias(f"k{i}") for i, k in enumerate((first(half), last(n - half), other)))
-        return F.when(n >= least, F.struct(*_hashes(w), *halves))
+        long = F.struct(first(half).alias("h1"), last(n - half).alias("h2"), other.alias("k2"))
+        # The number comes first: the hash of several values is chained.
+        short = F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"), F.lit(None).cast("long").alias("k2"))
+        return F.when(n >= MIN_WORDS, long).when(n > 0, short)
 
-    return rows.select("doc_id", "at", let(_word_hashes(common.words_of(F.col("line"))), of).alias("x")).where("x IS NOT NULL").select("doc_id", "at", "x.*")
+    words = F.array_remove(F.split("line", " "), "")
+    return rows.select("doc_id", "at", let(_word_hashes(words), of).alias("x")).where("x IS NOT NULL").select("doc_id", "at", "x.*")
 
 
 def _variants(words: Column) -> Column:
@@ -92,13 +93,13 @@ def _agree(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (head(a, b) + head(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
-    """(doc_id, at): every line that goes, of those of ``least`` words."""
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, at): every line that goes."""
     place = F.struct("doc_id", "at")
     # Equal lines share their halves: one entry per distinct line, at its earliest place.
-    every = common.cut(_lines(docs, least))
-    distinct = common.cut(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), *(F.first(k).alias(k) for k in ("k0", "k1", "k2"))))
-    halves = distinct.select("first", F.explode(F.array("k0", "k1", "k2")).alias("key")).where("key IS NOT NULL")
+    every = common.cut(_lines(docs))
+    distinct = common.cut(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("k2").alias("k2")))
+    halves = distinct.where("k2 IS NOT NULL").select("first", F.explode(F.array("h1", "h2", "k2")).alias("key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
     near = halves.join(shared, F.col("key") == F.col("k"), "left_semi").groupBy("first.doc_id").agg(F.collect_set("first.at").alias("ats"))
     near = common.cut(near.select(F.col("doc_id").alias("near_id"), "ats"))
@@ -107,7 +108,7 @@ def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     found = common.in_ids(texts, "doc_id", near.select("near_id")).join(near, F.col("doc_id") == F.col("near_id"))
     lines = found.select("doc_id", let(F.split("text", "\n"), lambda x: F.transform("ats", lambda i: F.struct(i.alias("at"), common.words_of(F.get(x, i)).alias("words")))).alias("lines"))
     lines = lines.select("doc_id", F.explode("lines").alias("x")).select(F.struct("doc_id", "x.at").alias("place"), "x.words").where(F.size("words") >= MIN_WORDS)
-    lines = common.cut(lines.groupBy("place").agg(F.first("words").alias("words")))
+    lines = common.cut(lines.groupBy("place").agg(F.min("words").alias("words")))
     keys = lines.select("place", F.posexplode(let(_word_hashes(F.col("words")), _variants)).alias("number", "h"))
     keys = keys.select(F.col("place.doc_id").alias("d"), F.col("place.at").alias("a"), (F.col("number") - 1).alias("gap"), "h")
     # Keys that occur once are the bulk: they go by their hashes alone, before any place is shuffled.
@@ -128,20 +129,24 @@ def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     return every.join(judged, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(F.coalesce("gone", F.lit(False)) | (place != F.col("first"))).select("doc_id", "at")
 
 
-def dedup(docs: DataFrame, least: int = 1) -> DataFrame:
-    """``docs`` with the lines removed from ``text``, and n_lines and n_removed beside its other columns."""
-    names = docs.columns
-    gone = common.cut(removed_lines(docs, least).groupBy("doc_id").agg(F.collect_set("at").alias("gone_ats")).withColumnRenamed("doc_id", "gone_id"))
-    boxed = docs.select("doc_id", "text", F.struct(*(c for c in names if c != "text")).alias("doc"))
+def _cleaned(docs: DataFrame) -> DataFrame:
+    """(doc, text, n_lines, n_removed): each row of ``docs`` but its text, and the text without the lines removed."""
+    gone = common.cut(removed_lines(docs).groupBy("doc_id").agg(F.collect_set("at").alias("gone_ats")).withColumnRenamed("doc_id", "gone_id"))
+    boxed = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("doc"))
     whole = boxed.withColumn("gone_ats", F.lit(None).cast("array<int>"))
     ids = gone.select("gone_id")
     if ids.limit(500_001).count() > 500_000:
-        out = _without(boxed.join(gone, F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id"))
-    else:  # few enough to broadcast (8 bytes each): only the texts that change are shuffled
-        side = F.broadcast(ids.withColumnRenamed("gone_id", "hit_id"))
-        changed = boxed.join(side, F.col("doc_id") == F.col("hit_id"), "left_semi").join(gone, F.col("doc_id") == F.col("gone_id")).drop("gone_id")
-        out = _without(changed).unionByName(_without(whole.join(side, F.col("doc_id") == F.col("hit_id"), "left_anti")))
-    return out.select(*(F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in names), "n_lines", "n_removed")
+        return _without(boxed.join(gone, F.col("doc_id") == F.col("gone_id"), "left").drop("gone_id"))
+    # Few enough to broadcast (8 bytes each): only the texts that change are shuffled.
+    side = F.broadcast(ids.withColumnRenamed("gone_id", "hit_id"))
+    changed = boxed.join(side, F.col("doc_id") == F.col("hit_id"), "left_semi").join(gone, F.col("doc_id") == F.col("gone_id")).drop("gone_id")
+    return _without(changed).unionByName(_without(whole.join(side, F.col("doc_id") == F.col("hit_id"), "left_anti")))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with the lines removed from ``text``, and n_lines and n_removed beside its other columns."""
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _cleaned(docs).select(*(F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in names), "n_lines", "n_removed")
 
 
 def _without(joined: DataFrame) -> DataFrame:
@@ -153,23 +158,24 @@ def _without(joined: DataFrame) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Its SQL lets lines under MIN_WORDS stay, equal ones too.
-    return dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_WORDS)
+    return dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines removed and ``n_chars`` brought up to date."""
-    return dedup(docs).drop("n_lines", "n_removed").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """``docs`` with the lines removed and ``n_chars`` brought up to date; all other columns as they are."""
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return _cleaned(docs).select(*(new.get(c, F.col(f"doc.`{c}`").alias(c)) for c in docs.columns))
 
 
 SQL = rf"""WITH l AS (SELECT doc_id, i - 1 AS pos, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM (
     SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, a, a[i] AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE doc_id IS NOT NULL))),
-k AS (SELECT doc_id, pos, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= {MIN_WORDS}),
+k AS (SELECT doc_id, pos, w, array_to_string(w, ' ') AS s FROM l WHERE len(w) > 0),
 u AS (SELECT s, any_value(w) AS w, min((doc_id, pos)) AS f, count(*) AS n FROM k GROUP BY s),
-v AS (SELECT f, gap, array_to_string(list_concat(w[1:gap - 1], w[gap + 1:]), ' ') AS d FROM (SELECT f, w, unnest(range(1, len(w) + 1)) AS gap FROM u)),
+long AS (SELECT * FROM u WHERE len(w) >= {MIN_WORDS}),
+v AS (SELECT f, gap, array_to_string(list_concat(w[1:gap - 1], w[gap + 1:]), ' ') AS d FROM (SELECT f, w, unnest(range(1, len(w) + 1)) AS gap FROM long)),
 gone AS (SELECT v.f FROM v JOIN (SELECT d, gap, min(f) AS e FROM v GROUP BY d, gap HAVING count(*) > 1) g ON v.d = g.d AND v.gap = g.gap WHERE g.e < v.f
-  UNION SELECT v.f FROM v JOIN u ON v.d = u.s WHERE u.f < v.f
-  UNION SELECT u.f FROM v JOIN u ON v.d = u.s WHERE v.f < u.f),
+  UNION SELECT v.f FROM v JOIN long u ON v.d = u.s WHERE u.f < v.f
+  UNION SELECT u.f FROM v JOIN long u ON v.d = u.s WHERE v.f < u.f),
 r AS (SELECT k.doc_id, list(DISTINCT k.pos) AS ats FROM k JOIN u ON k.s = u.s LEFT JOIN gone ON u.f = gone.f
   WHERE gone.f IS NOT NULL OR (k.doc_id, k.pos) <> u.f GROUP BY k.doc_id)
 SELECT d.doc_id, CASE WHEN ats IS NULL THEN text ELSE coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(ats, i - 1)), chr(10)), '') END AS text,
