@@ -23,8 +23,10 @@ REPEAT_PERCENT = 50
 SYMBOL_PERCENT = 30
 DUP_LINE_PERCENT = 50
 HOST_LIMIT = 0.5
-#: Hosts up to which their verdicts are broadcast; a row of it is a name and a flag.
+#: Rejected hosts up to which their names are broadcast.
 BROADCAST_HOSTS = 100_000
+#: Parts of a host where rejected hosts are too many to broadcast.
+SALTS = 64
 RULES = ("short", "repetitive", "symbols", "dup_lines")
 
 
@@ -119,30 +121,55 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     return rated.select("host", F.col("n").alias("n_docs"), *(f"{r}_rate" for r in RULES), F.greatest(*(F.col(f"{r}_rate") for r in RULES)).__gt__(limit).alias("host_rejected"))
 
 
-def with_verdicts(judged: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``judged`` with ``kept``. Few hosts: their verdicts are broadcast, else joined by shuffle."""
-    few = verdicts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    side = verdicts.select(F.col("host").alias("verdict_host"), "host_rejected")
-    joined = judged.join(F.broadcast(side) if few else side, judged["host"].eqNullSafe(side["verdict_host"]), "left").drop("verdict_host")
-    return joined.withColumn("kept", ~(F.col("base_failed") | F.col("symbols") | F.col("dup_lines") | F.coalesce("host_rejected", F.lit(False))))
+def without_rejected(rows: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
+    """``rows`` whose host isn't rejected.
+
+    Rejected hosts alone are joined: by broadcast while they are few, else in ``SALTS`` parts of each host, so that a
+    host with a third of all rows isn't one task's.
+    """
+    rejected = verdicts.where("host_rejected").select(F.col("host").alias("rejected_host"))
+    if rejected.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        return rows.join(F.broadcast(rejected), F.col(host).eqNullSafe(F.col("rejected_host")), "left_anti")
+    side = rejected.withColumn("rejected_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("own_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    return salted.join(side, F.col(host).eqNullSafe(F.col("rejected_host")) & (F.col("own_salt") == F.col("rejected_salt")), "left_anti").drop("own_salt")
 
 
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = common.cut(judge(common.table(spark, sf_dir, "documents")))
     verdicts = common.cut(host_verdicts(judged))
-    return with_verdicts(judged, verdicts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    good = "NOT (base_failed OR symbols OR dup_lines)"
+    passed = without_rejected(judged.where(good), verdicts, "host").withColumn("kept", F.lit(True))
+    failed = judged.where(f"NOT ({good})").withColumn("kept", F.lit(False))
+    # Those of rejected hosts: what passes its own rules and isn't in ``passed``.
+    few = verdicts.where("host_rejected").select(F.col("host").alias("rejected_host"))
+    few = F.broadcast(few) if few.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else few
+    rejected = judged.where(good).join(few, F.col("host").eqNullSafe(F.col("rejected_host")), "left_semi").withColumn("kept", F.lit(False))
+    return passed.unionByName(failed).unionByName(rejected).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def failures(text: Column) -> Column:
+    """The rules of ``RULES`` that a text fails, as the bits of one number."""
+
+    def of(m: Column) -> Column:
+        n, long = m["words"]["n"], F.lit(0).cast("long")
+        tests = (n < MIN_WORDS, 100 * m["words"]["rep"] > REPEAT_PERCENT * n, 100 * m["n_symbols"] > SYMBOL_PERCENT * n, 100 * m["lines"]["dup"] > DUP_LINE_PERCENT * m["lines"]["n"])
+        return sum((F.when(t, F.lit(1 << k).cast("long")).otherwise(long) for k, t in enumerate(tests)), long)
+
+    return let(measures(text), of)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents kept, all their columns. The texts never leave their tasks: measures are taken for the hosts
-    first and again beside the text."""
-    verdicts = common.cut(host_verdicts(judge(docs)))
-    names = docs.columns
-    boxed = docs.select(F.struct(*names).alias("doc"))
-    m = boxed.select("doc", F.col("doc.source").alias("host"), measures(F.col("doc.text")).alias("m"))
-    flat = m.select("doc", "host", F.col("m.words.n").alias("n_words"), "m.n_symbols", F.col("m.lines.dup").alias("n_dup_lines"), F.col("m.words.rep").alias("n_repeat_words"), F.col("m.lines.n").alias("n_lines"))
-    judged = flat.select("*", *rule_flags()).where("NOT (base_failed OR symbols OR dup_lines)")
-    return with_verdicts(judged, verdicts).where("kept").select("doc.*")
+    """The documents kept, all their columns. While rejected hosts are few the texts never leave their tasks.
+
+    Measures are taken for the hosts first and again beside the text, as one number each time, so that no plan takes
+    them once per use.
+    """
+    marked = docs.select(F.col("source").alias("host"), failures(F.col("text")).alias("failed"))
+    bits = marked.select("host", *((F.shiftright("failed", k).bitwiseAND(1) == 1).alias(r) for k, r in enumerate(RULES)))
+    verdicts = common.cut(host_verdicts(bits))
+    boxed = docs.where(failures(F.col("text")) == 0).select(F.struct(*docs.columns).alias("doc"), F.col("source").alias("host"))
+    return without_rejected(boxed, verdicts, "host").select("doc.*")
 
 
 SQL = rf"""WITH d AS (
