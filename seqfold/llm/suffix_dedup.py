@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 
 LENGTH, GRAM = 100, 32
+#: Low bits of a gram's hash that give way to its place; a block is no longer than they can tell.
+PLACE_BITS = 22
 #: Text bytes whose grams are hashed at once, segments settled at once, and text bytes to a part of the exchanges.
 BLOCK, SETTLE, PART_BYTES = 1 << 21, 1 << 20, 24 << 20
 SEGMENT = np.dtype([("h", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1")])
@@ -206,7 +208,9 @@ def segments(joined: bytes, docs: list[tuple[int, int, int, int]], length: int =
     if len(joined) < length:
         return np.zeros(0, SEGMENT)
     hashes = gram_hashes(np.frombuffer(joined, np.uint8))
-    low = np.uint64((1 << 22) - 1)
+    if len(joined) > 1 << PLACE_BITS:
+        raise ValueError("too long a block")
+    low = np.uint64((1 << PLACE_BITS) - 1)
     least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     width, size = length - GRAM + 1, 1
     while 2 * size <= width:
@@ -318,6 +322,9 @@ def _list_segments(parts: int, length: int) -> Callable:
                     piece = raw[at : at + BLOCK + length - 1].to_pybytes() if n >= length else b""
                     if not piece:
                         continue
+                    if size + len(piece) > 1 << PLACE_BITS:
+                        yield b"".join(held), docs
+                        held, docs, size = [], [], 0
                     held.append(piece)
                     docs.append((doc, size, len(piece), at))
                     size += len(piece)
