@@ -111,8 +111,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixture itself: the columns of ``docs``, a row for each epoch in which a document is taken."""
     times = common.cut(select(docs, **settings).select(F.col("doc_id").alias("taken_id"), "epochs").distinct())
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["taken_id"]))
-    return taken.withColumn("epoch_no", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(*(docs[c] for c in docs.columns))
+    boxed = docs.select("doc_id", F.struct(*docs.columns).alias("doc"))
+    taken = boxed.join(times, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("doc.*")
 
 
 def _sql_fill(name: str, source: str, parents: str, key: str, weight: str, keep: str) -> str:
