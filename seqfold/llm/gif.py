@@ -4,7 +4,8 @@
 palettes, interlacing, disposal methods 0 to 3, transparent index, deferred clear codes) and gives the composed
 canvas of each frame with its start and duration.
 
-Defined results: a null or malformed file gives no frames (``read_frames`` reports why in ``error``); frames are
+Defined results: a null or malformed file, or one with a canvas of no pixels or more than ``MAX_PIXELS``, gives the
+frames before the fault and then a row with ``error`` (``read_frames``); frames are
 numbered from 0 and timed in milliseconds; a null text is stored like an empty one.
 """
 
@@ -25,6 +26,8 @@ from . import common
 WIDTH, ROWS = 192, 64
 DELAY_CS = 10
 BINS = 16
+#: Pixels of a canvas or a frame beyond which a file is refused: four bytes each are held at once.
+MAX_PIXELS = 1 << 25
 
 
 class GifError(ValueError):
@@ -197,7 +200,9 @@ def frames(data: bytes) -> Iterator[Frame]:
     """
     try:
         yield from _frames(data)
-    except (IndexError, struct.error) as broken:
+    except GifError:
+        raise
+    except (IndexError, ValueError, struct.error) as broken:
         raise GifError(f"truncated: {broken}") from broken
 
 
@@ -210,6 +215,8 @@ def _frames(data: bytes) -> Iterator[Frame]:
         n = 3 << ((flags & 7) + 1)
         shared = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3)
         at += n
+    if not 0 < lines * columns <= MAX_PIXELS:
+        raise GifError("canvas size")
     canvas = np.zeros((lines, columns, 4), np.uint8)
     clock, delay, disposal, transparent = 0, 0, 0, None
     while True:
@@ -235,6 +242,8 @@ def _frames(data: bytes) -> Iterator[Frame]:
             at += n
         if palette is None:
             raise GifError("no palette")
+        if width * height > MAX_PIXELS:
+            raise GifError("frame size")
         bits = data[at]
         stream, at = _blocks(data, at + 1)
         index = np.frombuffer(lzw_decode(stream, bits, width * height), np.uint8)
