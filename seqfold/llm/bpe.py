@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 
 import public_tokenizers
 import tiktoken
@@ -23,6 +24,7 @@ from . import common
 RANK_FILE = "byte_bpe_50k.tiktoken"
 #: Code points after which a text is cut at the next safe boundary.
 PIECE = 1 << 15
+SAFE = re.compile(r"[A-Za-z](?=[\x00-@\[-`{-\x7f])")
 
 
 @functools.lru_cache(maxsize=4)
@@ -33,17 +35,16 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def pieces(text: str, size: int = PIECE):
-    """Cuts of ``text``, each right after a letter whose successor is no letter.
+    """Cuts of ``text``, each right after an ASCII letter whose successor is an ASCII character and no letter.
 
     Every match of the pattern that holds a letter consists, from its first letter on, of letters only, and no
-    look-ahead ever sees past such a place; so the matches on either side are those of the whole text. Where a
-    stretch has no such place, it stays in one piece.
+    look-ahead ever sees past such a place; so the matches on either side are those of the whole text. What a letter
+    is, no two versions of Unicode disagree about in ASCII. Where a stretch has no such place, it stays in one piece.
     """
     start, n = 0, len(text)
     while n - start > size:
-        end = start + size
-        while end < n and not (text[end - 1].isalpha() and not text[end].isalpha()):
-            end += 1
+        m = SAFE.search(text, start + size - 1)
+        end = m.end() if m else n
         yield text[start:end]
         start = end
     if start < n or not n:
