@@ -1,13 +1,14 @@
 """Main text of web pages as the maximum-scoring run of their blocks.
 
 A page is a sequence of words and tags. Words score by the kind of block they stand in (paragraph, heading, list
-item, ..., mostly link or not), tags cost; both weights are log-odds counted on labelled pages, those that mark
-their main part themselves with one ``article`` or ``main`` element. A linear scan finds the contiguous run of
-blocks with the highest sum. Where a page marks its main part, its words have a bonus and all others a malus of the
-same size, so the mark decides; where it doesn't, the weights do.
+item, ..., mostly link or not) and by the class and id of the nearest element that has any; tags cost. All weights are
+log-odds counted on labelled pages, those that mark their main part themselves with one ``article`` or ``main``
+element. A linear scan finds the contiguous run of blocks with the highest sum. The mark itself has no weight: it only
+tells a heading's ``header`` from the page's.
 
 Containers that are never main text (navigation, footers, asides, forms, adverts, notices, comments and the like,
-by tag, role, class or id) cost like tags and are left out even inside the run.
+by tag, role, class or id, or not shown) cost and are left out even inside the run. If that leaves nothing of a page,
+names of classes and ids alone speak against no container of it.
 
 The counts come from at most ``MAX_PAGES`` labelled pages, the first by a hash of the id; extraction covers every
 page, whole.
@@ -30,7 +31,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 
 MAX_PAGES = 4000
-BONUS, MOST = 5.0, 3.0
+#: Words that must stand under a name for it to have a weight.
+MIN_NAME_WORDS = 200
+#: Bound of learned weights, and what a word that is left out costs.
+MOST, NOISE = 3.0, -0.1
 
 TOKEN = re.compile(
     r"<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*(?:>|\Z)"
@@ -38,7 +42,9 @@ TOKEN = re.compile(
     r"|(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attributes2>[^>]*+)(?:>|\Z))",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One name and its value; a value in quotes is passed whole, so nothing in it is taken for a name.
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset(
@@ -63,13 +69,16 @@ class Block(NamedTuple):
     text: str
     kind: str  # nearest block element, "/link" after it if most of the text is in links
     noise: bool
+    struck: bool  # noise by more than a name
     main: bool
+    name: str  # of the nearest element with a class or id
     tags: tuple[str, ...]  # start tags since the block before
 
 
 class Weights(NamedTuple):
     words: dict[str, float]
     tags: dict[str, float]
+    names: dict[str, float] = {}
 
     def word(self, kind: str) -> float:
         return self.words.get(kind, -1.0 if kind.endswith("/link") else 1.0)
@@ -82,15 +91,17 @@ def _names(attributes: str) -> tuple[set[str], set[str], bool, bool]:
     """Name parts of class and id, roles, whether hidden, whether marked as the article's body."""
     names, roles, hidden, body = set(), set(), False, False
     for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id"):
+        key, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "class" or key == "id":
             names.update(re.split(r"[^a-z]+", value))
         elif key == "role":
             roles.update(value.split())
         elif key == "itemprop":
             body |= value == "articlebody"
-        else:
+        elif key == "hidden" or key == "aria-hidden":
             hidden |= value != "false"
+        elif key == "style":
+            hidden |= bool(UNSEEN.search(value))
     return names, roles, hidden, body
 
 
@@ -98,7 +109,7 @@ def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order; tags, comments and raw elements are gone, references decoded."""
     found: list[Block] = []
     # Open elements: tag, noise from here on, main from here on.
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool, str]] = []
     parts: list[str] = []
     linked = 0
     tags: list[str] = []
@@ -109,10 +120,10 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            kind = next((t for t, _, _ in reversed(stack) if t in BLOCK), "body")
+            kind = next((x[0] for x in reversed(stack) if x[0] in BLOCK), "body")
             kind = "h" if kind in ("h1", "h2", "h3", "h4", "h5", "h6") else kind
-            _, noise, main = stack[-1] if stack else ("", False, False)
-            found.append(Block(text, kind + "/link" * (2 * linked > len(text)), noise, main, tuple(tags)))
+            _, noise, struck, main, name = stack[-1] if stack else ("", False, False, False, "")
+            found.append(Block(text, kind + "/link" * (2 * linked > len(text)), noise, struck, main, name, tuple(tags)))
             tags.clear()
         parts.clear()
         linked = 0
@@ -143,7 +154,7 @@ def blocks(html: str) -> list[Block]:
             if tag in BLOCK:
                 flush()
             if depth is not None:
-                links -= sum(t == "a" for t, _, _ in stack[depth:])
+                links -= sum(x[0] == "a" for x in stack[depth:])
                 del stack[depth:]
             continue
         tags.append(tag)
@@ -162,22 +173,25 @@ def blocks(html: str) -> list[Block]:
         for k in range(len(stack) - 1, -1, -1):
             open_tag = stack[k][0]
             if tag in CLOSES.get(open_tag, ()):
-                links -= sum(t == "a" for t, _, _ in stack[k:])
+                links -= sum(x[0] == "a" for x in stack[k:])
                 del stack[k:]
                 break
             if tag in CLOSES_WITHIN and open_tag in CLOSES_WITHIN[tag] or open_tag in ("div", "section", "article", "main", "body", "table") and tag not in ("tr", "td", "th"):
                 break
-        _, noise, main = stack[-1] if stack else ("", False, False)
+        _, noise, struck, main, name = stack[-1] if stack else ("", False, False, False, "")
         names, roles, hidden, body = _names(m["attributes"] or m["attributes2"] or "")
         if tag in ("html", "body"):
             pass
         elif tag in ("article", "main"):
+            struck |= hidden
             noise |= bool(names & COMMENT_NAMES) or hidden
             main |= not noise
         else:
-            noise |= tag in NOISE_TAGS or (tag == "header" and not main) or bool(names & NOISE_NAMES and not (main and names & {"header"} and tag in ("header", "h1"))) or bool(roles & NOISE_ROLES) or hidden
+            struck |= tag in NOISE_TAGS or (tag == "header" and not main) or bool(roles & NOISE_ROLES) or hidden
+            noise |= struck or bool(names & NOISE_NAMES and not (main and names & {"header"} and tag in ("header", "h1")))
             main |= (body or "main" in roles) and not noise
-        stack.append((tag, noise, main))
+            name = " ".join(sorted(names - {""})) or name
+        stack.append((tag, noise, struck, main, name))
         links += tag == "a"
     flush()
     return found
@@ -192,6 +206,7 @@ def counts(html: str) -> Counter:
         inside = b.main and not b.noise
         if not b.noise:
             c["word", b.kind, inside] += len(b.text.split())
+            c["name", b.name, inside] += len(b.text.split())
         for t in b.tags:
             if t not in ("article", "main"):
                 c["tag", t, inside] += 1
@@ -200,34 +215,30 @@ def counts(html: str) -> Counter:
 
 def weights(c: Counter) -> Weights:
     """Log-odds of being inside; words lean to the positive and tags always cost."""
-    words, tags = {}, {}
+    words, tags, names = {}, {}, {}
     for what, name in {k[:2] for k in c}:
         odds = log((c[what, name, True] + 1) / (c[what, name, False] + 1))
         if what == "word":
             words[name] = max(-MOST, min(MOST, odds + (-1.0 if name.endswith("/link") else 1.0)))
-        else:
+        elif what == "tag":
             tags[name] = max(-1.0, min(-0.05, odds / MOST))
-    return Weights(words, tags)
+        elif c[what, name, True] + c[what, name, False] >= MIN_NAME_WORDS:
+            names[name] = max(-MOST, min(MOST, odds)) / 2
+    return Weights(words, tags, names)
 
 
 def extract(html: str, w: Weights) -> str:
     """The best run of blocks, without the noise in it."""
     found = blocks(html)
-    marked = any(b.main and not b.noise for b in found)
+    if not any(not b.noise for b in found):
+        found = [b._replace(noise=b.struck) for b in found]  # nothing but containers that their names alone speak against
     best, best_run, total, start = 0.0, (0, 0), 0.0, 0
     for k, b in enumerate(found):
         n = len(b.text.split())
         if b.noise:
-            score = -0.1 * n
-            if marked and b.main:
-                score = 0.0  # a notice within the marked part doesn't divide it
+            score = NOISE * n
         else:
-            each = w.word(b.kind)
-            if marked:
-                each = BONUS if b.main else -BONUS
-            score = n * each + sum(map(w.tag, b.tags))
-            if marked and b.main:
-                score = max(score, 0.01)
+            score = n * (w.word(b.kind) + w.names.get(b.name, 0.0)) + sum(map(w.tag, b.tags))
         if total <= 0:
             total, start = 0.0, k
         total += score
