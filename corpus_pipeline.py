@@ -6,13 +6,11 @@ Parquet and read again. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from seqfold.llm import bpe, common, line_dedup, mixing, quality_rules, simhash
+from seqfold.sources import durable
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. Between stages the table is written to the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``. Between stages the table is written to the shared folder; the last one stays there
+    until its reader is done with it."""
+    at = durable.fresh(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{at}/{k}-{name}")
             docs = spark.read.parquet(f"{at}/{k}-{name}")
+            if k:  # written: what this stage read is of no more use
+                durable.delete(spark, f"{at}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
