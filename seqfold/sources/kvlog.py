@@ -1,6 +1,6 @@
 """The binary log as a Spark data source, ``spark.read.format("kvlog").load(dir)`` and ``df.write.format("kvlog")``.
 
-One partition per segment file, read through a memory map in Arrow batches. ``mode`` failfast (default) raises on
+A partition per ``PARTITION_BYTES`` of consecutive segment files, read through a memory map in Arrow batches. ``mode`` failfast (default) raises on
 corruption; permissive gives a row with ``error_code``. A tail cut off in the active (last) segment is dropped either
 way; ``report`` gives, instead of records, one row per segment: how far it is valid and what follows. Order across
 segments is checked by ``sequence_errors``, and by ``read_ordered`` before anything is returned. Paths must be on a
@@ -23,6 +23,7 @@ from seqfold.sources import codec
 from seqfold.sources.durable import local_path, visible
 
 SCHEMA = "segment_id long, record_offset long, seq long, op int, key binary, value binary, expires_at_ms long, header_size int, encoded_size long, payload_crc long, error_code string"
+PARTITION_BYTES = 1 << 23
 NAME = re.compile(r"segment-(\d{20})\.fkv")
 
 
@@ -39,10 +40,12 @@ def segments(path: str) -> list[tuple[int, str]]:
     return sorted(found.items())
 
 
-class _Segment(InputPartition):
-    def __init__(self, segment_id: int, file: str, active: bool):
-        super().__init__(segment_id)
-        self.segment_id, self.file, self.active = segment_id, file, active
+class _Segments(InputPartition):
+    """(id, file, whether active) of consecutive segments."""
+
+    def __init__(self, listed: list[tuple[int, str, bool]]):
+        super().__init__(listed[0][0])
+        self.listed = listed
 
 
 class _Reader(DataSourceReader):
@@ -52,13 +55,19 @@ class _Reader(DataSourceReader):
             raise ValueError(f"unknown mode: {self.mode}")
 
     def partitions(self):
-        listed = segments(self.path)
-        return [_Segment(i, f, i == listed[-1][0]) for i, f in listed]
+        listed, parts, size = segments(self.path), [], PARTITION_BYTES
+        for i, file in listed:
+            if size >= PARTITION_BYTES:
+                parts.append([])
+                size = 0
+            parts[-1].append((i, file, i == listed[-1][0]))
+            size += os.path.getsize(file)
+        return [_Segments(p) for p in parts]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for row in self._rows(partition) if partition is not None else ():
+        for row in (row for one in (partition.listed if partition is not None else ()) for row in self._rows(*one)):
             rows.append(row)
             size += 64 + len(row[5] or b"")
             if size > 1 << 22:
@@ -67,26 +76,26 @@ class _Reader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
-    def _rows(self, partition) -> Iterator[tuple]:
+    def _rows(self, segment_id: int, file: str, active: bool) -> Iterator[tuple]:
         nothing, end, status = (None,) * 8, 0, "complete"
-        with open(partition.file, "rb") as f:
+        with open(file, "rb") as f:
             data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""
-            for at, r, error in codec.read_segment(data, partition.active):
+            for at, r, error in codec.read_segment(data, active):
                 if r is None:
                     status = error
                     if self.mode == "failfast" and error != "truncated":
-                        raise codec.CodecError(f"{error} in segment {partition.segment_id} at {at}")
+                        raise codec.CodecError(f"{error} in segment {segment_id} at {at}")
                     if self.mode == "permissive" and error != "truncated":
-                        yield partition.segment_id, at, *nothing, error
+                        yield segment_id, at, *nothing, error
                     continue
                 end = at + r.encoded_size
                 if self.mode == "report":
                     continue
                 if r.seq >= 1 << 63 or r.expires_at_ms >= 1 << 63:
                     raise OverflowError("sequence or deadline beyond a long")
-                yield partition.segment_id, at, r.seq, r.op, r.key, r.value, r.expires_at_ms, r.header_size, r.encoded_size, r.payload_crc, None
+                yield segment_id, at, r.seq, r.op, r.key, r.value, r.expires_at_ms, r.header_size, r.encoded_size, r.payload_crc, None
         if self.mode == "report":
-            yield partition.segment_id, end, *nothing, status
+            yield segment_id, end, *nothing, status
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
