@@ -14,7 +14,8 @@ same anchor are one segment.
    documents sends one record per task.
 2. Records meet by anchor. Equal segments keep the earliest, the others lose all their strings. Anchors with one
    segment are done; where different segments share an anchor, one of each kind goes on.
-3. Those fetch their bytes and meet by anchor again, and suffix arrays over them find the equal strings.
+3. Those fetch their bytes and meet by anchor again. Strings whose hash no other string there has go; suffix arrays
+   over what is left find the equal strings.
 4. The removed ranges meet by document.
 
 Number of parts: by the input's bytes, so a part's records and bytes fit a task's memory at any size.
@@ -42,6 +43,8 @@ LENGTH, GRAM = 100, 32
 PLACE_BITS = 22
 #: Text bytes whose grams are hashed at once, segments settled at once, and text bytes to a part of the exchanges.
 BLOCK, SETTLE, PART_BYTES = 1 << 21, 1 << 20, 24 << 20
+#: Bytes of open segments whose strings are hashed at once.
+HASHED = 1 << 18
 SEGMENT = np.dtype([("h", "<u8"), ("digest", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1")])
 RANGE = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
 SEGMENTS, RANGES, OPEN = 0, 1, 2
@@ -136,14 +139,14 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     return np.concatenate(out)
 
 
-def adjacent_prefixes(t: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in ``order``, counted up to ``limit``."""
+def adjacent_prefixes(t: np.ndarray, order: np.ndarray, limit: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Common prefix of each suffix (of those ``wanted``, else 0) with the one before it in ``order``, up to ``limit``."""
     n = len(t)
     common_prefix = np.zeros(len(order), np.int64)
     if len(order) < 2:
         return common_prefix
     words = packed(t + 1)
-    alive = np.arange(1, len(order))
+    alive = np.arange(1, len(order)) if wanted is None else np.flatnonzero(wanted[1:]) + 1
     done = 0
     while len(alive) and done < limit:
         a, b = order[alive - 1] + done, order[alive] + done
@@ -174,10 +177,10 @@ def later_strings(pieces: list[bytes], starts: np.ndarray, rank: np.ndarray, len
     string = np.full(len(t), -1, np.int64)
     string[place] = np.arange(len(place))
     order = suffix_array(t, depth=length)
-    prefix = adjacent_prefixes(t, order, length)
     of = string[order]
     # Runs of equal strings; a suffix that begins no string has a run of its own.
-    run = np.cumsum((prefix < length) | (of < 0) | np.concatenate([[True], of[:-1] < 0]))
+    follows = (of >= 0) & np.concatenate([[False], of[:-1] >= 0])
+    run = np.cumsum(~follows | (adjacent_prefixes(t, order, length, follows) < length))
     kept = of >= 0
     of, run = of[kept], run[kept]
     least = np.full(int(run.max()) + 1 if len(run) else 0, np.iinfo(np.int64).max)
@@ -260,6 +263,41 @@ def ranges(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def string_hashes(b: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A hash of the ``length`` bytes from each position on, by two grams that cover them."""
+    gram, n = 1 << (length.bit_length() - 1), len(b) - length + 1
+    x = gram_hashes(b, gram)
+    return x[:n] * np.uint64(0x9E3779B97F4A7C15) + x[length - gram : length - gram + n]
+
+
+def repeated(r: np.ndarray, pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, list[bytes]]:
+    """The segments and their bytes, cut to the range of the strings that may equal another one of their anchor."""
+    n = r["n"].astype(np.int64)
+    sizes = np.cumsum(n + length - 1)
+    found, at = [], 0
+    while at < len(r):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + HASHED, side="right")))
+        some = n[at:stop]
+        place = np.repeat((length - 1) * np.arange(len(some)), some) + np.arange(int(some.sum()))
+        hashes = string_hashes(np.frombuffer(b"".join(pieces[at:stop]), np.uint8), length)[place]
+        found.append(hashes ^ np.repeat(r["h"][at:stop] * np.uint64(0xD6E8FEB86659FD93), some))
+        at = stop
+    keys = np.concatenate(found)
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    hit = np.zeros(len(keys), bool)
+    hit[order[1:][same]] = hit[order[:-1][same]] = True
+    hits = np.flatnonzero(hit)
+    of = np.repeat(np.arange(len(r)), n)[hits]
+    kept, first = np.unique(of, return_index=True)
+    last = np.append(first[1:], len(of))[: len(kept)] - 1
+    base = (np.cumsum(n) - n)[kept]
+    low, high = hits[first] - base, hits[last] - base + 1
+    out = r[kept].copy()
+    out["start"], out["n"] = out["start"] + low, high - low
+    return out, [pieces[k][a : b + length - 1] for k, a, b in zip(kept.tolist(), low.tolist(), high.tolist())]
+
+
 # --- exchanges ----------------------------------------------------------------------------------------------------
 
 PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -456,7 +494,7 @@ def _fetch(parts: int, length: int) -> Callable:
 
 
 def _sort(parts: int, length: int) -> Callable:
-    """Step 3, second half: suffix arrays over the open segments of a part, a bounded number of anchors at once."""
+    """Step 3, second half: suffix arrays over what may be equal in a part's segments, some anchors at once."""
 
     def rows(batches):
         records, pieces = [], []
@@ -470,6 +508,9 @@ def _sort(parts: int, length: int) -> Callable:
         if not records:
             return
         r = np.concatenate(records)
+        r, pieces = repeated(r, pieces, length)
+        if not len(r):
+            return
         order = np.argsort(r["h"], kind="stable")
         r, pieces = r[order], [pieces[i] for i in order.tolist()]
         sizes = np.cumsum(r["n"].astype(np.int64) + length)
