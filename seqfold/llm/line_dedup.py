@@ -43,21 +43,18 @@ def _lines(docs: DataFrame) -> DataFrame:
     for blank in common.BLANKS[1:].replace("\n", ""):
         spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split(spaced, "\n")).alias("at", "line"))
-
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-        first = lambda size: F.xxhash64(F.lit("first"), size, F.slice(w, 1, size))
-        last = lambda size: F.xxhash64(F.lit("last"), size, F.slice(w, n - size + 1, size))
-        # Odd lengths: the first halves coincide; even ones: the last halves do.
-        other = F.when(n % 2 == 1, last(n - 1 - less)).otherwise(first(less))
-        long = F.struct(first(half).alias("h1"), last(n - half).alias("h2"), other.alias("k2"))
-        # The number comes first: the hash of several values is chained.
-        short = F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"), F.lit(None).cast("long").alias("k2"))
-        return F.when(n >= MIN_WORDS, long).when(n > 0, short)
-
-    words = F.array_remove(F.split("line", " "), "")
-    return rows.select("doc_id", "at", let(_word_hashes(words), of).alias("x")).where("x IS NOT NULL").select("doc_id", "at", "x.*")
+    # Blank lines go by the line itself: a filter on what is made of it would be pushed below and make it twice.
+    rows = rows.where(F.trim("line") != "").select("doc_id", "at", F.array_remove(F.split("line", " "), "").alias("w"))
+    w, n = F.col("w"), F.size("w")
+    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    # The number comes first: the hash of several values is chained.
+    first = lambda size: F.xxhash64(F.lit("first"), size, F.slice(w, 1, size))
+    last = lambda size: F.xxhash64(F.lit("last"), size, F.slice(w, n - size + 1, size))
+    # Odd lengths: the first halves coincide; even ones: the last halves do.
+    other = F.when(n % 2 == 1, last(n - 1 - less)).otherwise(first(less))
+    long = n >= MIN_WORDS
+    h1, h2 = F.when(long, first(half)).otherwise(F.xxhash64(w)), F.when(long, last(n - half)).otherwise(F.xxhash64(F.lit(1), w))
+    return rows.select("doc_id", "at", h1.alias("h1"), h2.alias("h2"), F.when(long, other).alias("k2"))
 
 
 def _variants(words: Column) -> Column:
