@@ -758,7 +758,7 @@ def log_appended(spark, sf_dir):
         read, report = kvlog.read_ordered(spark, path), kvlog.tail_report(spark, path)
         totals = read.agg(F.count("*").alias("records"), F.sum("seq").alias("sequences"))
         sizes = report.agg(F.sum("valid_bytes").alias("bytes"), F.bool_and(F.col("status") == "complete").alias("complete"))
-        wrong = kvlog.sequence_errors(read).agg(F.count("*").alias("out_of_order"))
+        wrong = kvlog.order_errors(spark, path).agg(F.count("*").alias("out_of_order"))
         return durable.cut(totals.join(F.broadcast(sizes)).join(F.broadcast(wrong)))  # one row each
 
 
