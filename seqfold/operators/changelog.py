@@ -6,6 +6,7 @@ given. The last record of a key is found first and its liveness judged after, so
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqfold.sources.durable import cut
@@ -150,12 +151,17 @@ def rotate(log: DataFrame, max_bytes: int, first_segment: int = 1, used: int = 0
     def fold(batches):
         segment, size = first_segment, used
         for pdf in batches:
-            ids = []
-            for n in pdf["size"].tolist():
-                if size and size + n > max_bytes:
+            # One step per segment, to the last record that still fits.
+            ends = np.cumsum(pdf["size"].to_numpy())
+            ids, at, done = np.empty(len(ends), np.int64), 0, 0
+            while at < len(ends):
+                stop = int(np.searchsorted(ends, max_bytes - size + done, side="right"))
+                if stop <= at and size:
                     segment, size = segment + 1, 0
-                size += n
-                ids.append(segment)
+                    continue
+                stop = max(stop, at + 1)
+                ids[at:stop] = segment
+                size, done, at = size + ends[stop - 1] - done, ends[stop - 1], stop
             yield pdf.assign(segment_id=ids)
 
     # Spark's own size column is dropped before the join back.
